@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from loomkb.llm import exact_dedup, mixing, url_filter
+from loomkb.llm import exact_dedup, html_extract, mixing, packing, token_shards, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_html_extract": html_extract.op2_html_extract,
+        "op3_warc_roundtrip": warc.op3_warc_roundtrip,
+        "op5_token_shards": token_shards.op5_token_shards,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_pack_sequences": packing.op9_pack_sequences,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_warc_roundtrip": warc.OP3_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
