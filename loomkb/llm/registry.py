@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkb.llm import exact_dedup, html_extract, mixing, packing, token_shards, toxicity, url_filter, warc
+from loomkb.llm import embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, packing, token_shards, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_html_extract": html_extract.op2_html_extract,
         "op3_warc_roundtrip": warc.op3_warc_roundtrip,
+        "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
         "op5_token_shards": token_shards.op5_token_shards,
+        "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_pack_sequences": packing.op9_pack_sequences,
@@ -21,6 +23,8 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_warc_roundtrip": warc.OP3_SQL,
+        "op4_embedding_dedup": embedding_dedup.OP4_SQL,
+        "op6_ngram_jaccard": ngram_join.OP6_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
