@@ -9,8 +9,9 @@ its solution tilts the rates exponentially in the document's size ``x``:
 
 Newton steps run over a histogram of (source, size) that is aggregated once, so
 an iteration reads distinct sizes and not documents. Rates become copies by
-diffusing the rounding error inside small hash buckets, largest document first,
-which keeps the sum of each bucket within about one small document.
+diffusing the rounding error inside small hash buckets, largest document first:
+what a document takes too little or too much goes to the next smaller ones, so
+the sum of a bucket ends within about one small document of its rates' sum.
 """
 
 from __future__ import annotations
@@ -154,14 +155,12 @@ def mix(
     start = F.struct(F.lit(0.0).alias("error"), F.array().cast("array<int>").alias("copies"))
 
     def place(done: Column, doc: Column) -> Column:
-        down = F.floor(doc["rate"]).cast("int")
-        up = F.least(down + 1, F.lit(MAX_COPIES))
-        if_down, if_up = (done["error"] + (doc["rate"] - k) * doc["size"] for k in (down, up))
-        more = F.abs(if_up) < F.abs(if_down)
-        return F.struct(
-            F.when(more, if_up).otherwise(if_down).alias("error"),
-            F.concat(done["copies"], F.array(F.when(more, up).otherwise(down))).alias("copies"),
-        )
+        # the number of copies that brings the bucket's sum nearest to what its rates ask for
+        due = done["error"] + doc["rate"] * doc["size"]
+        nearest = F.ceil(due / F.greatest(doc["size"], F.lit(1)) - 0.5)
+        few = F.when(doc["size"] == 0, F.floor(doc["rate"])).otherwise(nearest)
+        k = F.greatest(F.lit(0), F.least(F.lit(MAX_COPIES), few)).cast("int")
+        return F.struct((due - k * doc["size"]).alias("error"), F.concat(done["copies"], F.array(k)).alias("copies"))
 
     copies = F.aggregate("docs", start, place)["copies"]
     out = grouped.select(F.explode(F.arrays_zip(F.col("docs").alias("doc"), copies.alias("copies"))).alias("r"))
