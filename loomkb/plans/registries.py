@@ -379,9 +379,9 @@ ORACLES = {
         SELECT event_type AS kind, CAST(sum(epoch(least(date_trunc('second', ts) + INTERVAL 25 MINUTE, TIMESTAMP '{NOW}')) - epoch(date_trunc('second', ts))) AS BIGINT) AS seconds
         FROM events WHERE ts >= date_trunc('day', TIMESTAMP '{NOW}') GROUP BY 1""",
     "reading_stats": """
-        WITH l AS (SELECT user_id AS book_id, ts AS at, CAST(floor(value * 4) AS INT) AS page, max(ts) OVER (PARTITION BY user_id) AS last_at FROM events WHERE event_type = 'view'),
-        g AS (SELECT book_id, max(struct_pack("at" := at, page := page)) AS l, max(struct_pack("at" := at, page := page)) FILTER (WHERE at < last_at - INTERVAL 7 DAY) AS b, count(*) AS entries FROM l GROUP BY book_id)
-        SELECT book_id, l.page AS page, round(100.0 * l.page / 500, 1) AS percent, 500 - l.page AS "left", l.page - coalesce(b.page, 0) AS week, entries FROM g""",
+        WITH l AS (SELECT user_id AS book_id, ts AS t, CAST(floor(value * 4) AS INT) AS page, max(ts) OVER (PARTITION BY user_id) AS last_at FROM events WHERE event_type = 'view'),
+        g AS (SELECT book_id, max(struct_pack(t := t, page := page)) AS l, max(struct_pack(t := t, page := page)) FILTER (WHERE t < last_at - INTERVAL 7 DAY) AS b, count(*) AS entries FROM l GROUP BY book_id)
+        SELECT book_id, l.page AS page, round(CAST(100.0 AS DOUBLE) * l.page / 500, 1) AS percent, 500 - l.page AS "left", l.page - coalesce(b.page, 0) AS week, entries FROM g""",
     "local_time": """
         SELECT event_id, strftime(timezone(CASE user_id % 3 WHEN 0 THEN 'Europe/Paris' WHEN 1 THEN 'Asia/Tokyo' ELSE 'UTC' END, timezone('UTC', ts)), '%d.%m %H:%M') AS local FROM events""",
     "eval_recall": r"""

@@ -135,7 +135,7 @@ ORACLES = {
         SELECT c_custkey, CASE WHEN c_custkey % 2 <> 0 THEN 'external' WHEN c_mktsegment = 'MACHINERY' THEN 'analyst' ELSE 'internal' END AS role FROM customer""",
     "intent_classify": """
         SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'issue' ELSE 'question' END AS primary,
-               CASE turn % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS score, turn % 3 < 2 AS is_issue, turn % 3 = 1 AS confident FROM conversations""",
+               CAST(CASE turn % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS DOUBLE) AS score, turn % 3 < 2 AS is_issue, turn % 3 = 1 AS confident FROM conversations""",
     "title_overlap": f"""
         WITH s AS (SELECT p_partkey, p_brand, {_STEMS} AS s FROM part)
         SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 9) AS score
