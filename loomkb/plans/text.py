@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomkb.functions import scoring, text
+from loomkb.functions import entities, scoring, text
+from loomkb.operators import evidence
 from loomkb.session import table
 
 
@@ -142,3 +143,64 @@ ORACLES = {
         FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
         WHERE least(len(a.s), len(b.s)) > 0 AND len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) >= 0.75""",
 }
+
+
+def entity_keys(spark, sf_dir):
+    said = F.concat(F.lit("платформа 8.3."), F.col("p_size").cast("string"), F.lit(".2342, УТ 11."), (F.col("p_partkey") % 7).cast("string"), F.lit(" на srvapp"), (F.col("p_partkey") % 50).cast("string"))
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(entities.entities(said)).alias("e"))
+    return found.select("p_partkey", "e.kind", "e.name")
+
+
+def related_score(spark, sf_dir):
+    """Documents of one source as issues: text alone, best five of each."""
+    d = table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", "text")
+    described = evidence.described(d, F.col("text"))
+    return evidence.related(described, described, "doc_id", evidence.related_score("l", "r"), evidence.ISSUE_MIN)
+
+
+def contour_suggest(spark, sf_dir):
+    """Nations as subsystems of regions, named in made-up texts."""
+    none = F.array().cast("array<string>")
+    systems = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit("system").alias("kind"), F.concat(F.lit("область"), F.translate("r_name", "_ ", "")).alias("name"), F.lit(None).cast("long").alias("parent_id"), none.alias("aliases"))
+    subs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("subsystem").alias("kind"), F.concat(F.lit("NDX"), F.lpad("n_nationkey", 3, "0")).alias("name"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"), none.alias("aliases"))
+    texts = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("заявка ndx"), F.lpad("c_nationkey", 3, "0"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" и ndx000")).otherwise(F.lit(""))).alias("t"), none.alias("o"))
+    found = evidence.contour_suggest(evidence.contour_scores(texts, systems.unionByName(subs), "c_custkey", "t", "o"))
+    return found.select(F.col("id").alias("c_custkey"), F.array_join("contours", ",").alias("contours"))
+
+
+def triage_decide(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mail_id"), F.col("o_custkey").alias("issue_id"))
+    proof = [o.where("mail_id % 4 = 0").withColumns({"score": F.lit(1.5), "why": F.lit("text")}), o.where("mail_id % 6 = 0").withColumns({"score": F.lit(0.5), "why": F.lit("sender")})]
+    return evidence.triage(o.select("mail_id"), evidence.candidates(proof), F.col("mail_id") % 2 == 0)
+
+
+def intake_actions(spark, sf_dir):
+    l = table(spark, sf_dir, "labels")
+    relation = evidence.intake_relation(F.col("toxic") == 1, F.col("quality") == 0, F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0)
+    return l.select("doc_id", relation.alias("relation"), evidence.intake_action(relation, F.lit("doc")).alias("action"))
+
+
+QUERIES.update({f.__name__: f for f in (entity_keys, related_score, contour_suggest, triage_decide, intake_actions)})
+_STEM_STOP = ", ".join(f"'{w}'" for w in text.STEM_STOP)
+ORACLES |= {
+    "entity_keys": """
+        SELECT p_partkey, 'software_version' AS kind, 'Платформа 8.3.' || p_size || '.2342' AS name FROM part
+        UNION ALL SELECT p_partkey, 'software_version', 'УТ 11.' || (p_partkey % 7) FROM part
+        UNION ALL SELECT p_partkey, 'server', 'srvapp' || (p_partkey % 50) FROM part""",
+    "related_score": f"""
+        WITH s AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-zа-яё]{{4,}}'),
+                   lambda w: NOT list_contains([{_STEM_STOP}], w)), lambda w: left(w, 6))) AS s FROM documents WHERE source = 'src3'),
+        p AS (SELECT a.doc_id AS l_id, b.doc_id AS r_id, len(list_intersect(a.s, b.s)) / sqrt(len(a.s) * len(b.s)) AS c FROM s a JOIN s b ON a.doc_id <> b.doc_id
+              WHERE len(a.s) > 0 AND len(b.s) > 0),
+        q AS (SELECT l_id, r_id, round(c, 9) AS score FROM p WHERE round(c, 9) >= 0.3)
+        SELECT l_id, r_id, score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM q) WHERE rn <= 5""",
+    "contour_suggest": """
+        SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_nationkey <> 0 THEN '' ELSE (SELECT n_regionkey + 1000 FROM nation WHERE n_nationkey = c_nationkey) || ',' || c_nationkey END AS contours FROM customer""",
+    "triage_decide": """
+        SELECT o_orderkey AS mail_id, CASE WHEN o_orderkey % 12 = 0 THEN 'update' WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'knowledge' END AS decision,
+               CASE WHEN o_orderkey % 12 = 0 THEN o_custkey END AS issue_id FROM orders""",
+    "intake_actions": """
+        WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'already_uploaded' WHEN quality = 0 THEN 'same_content' WHEN doc_id % 5 = 0 THEN 'known_letters'
+                   WHEN doc_id % 7 = 0 THEN 'new_version' ELSE 'new' END AS relation FROM labels)
+        SELECT doc_id, relation, CASE WHEN relation IN ('already_uploaded', 'same_content', 'known_letters') THEN 'skip' WHEN relation = 'new_version' THEN 'new_version' ELSE 'add' END AS action FROM r""",
+}
