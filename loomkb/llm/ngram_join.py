@@ -38,8 +38,10 @@ from loomkb.llm.components import Forest, connected_components, sorted_groups
 from loomkb.session import table
 from loomkb.storage import materialize
 
-#: Hash groups of the ranking and of the count vectors.
+#: Hash groups of the ranking, and of the points in a tree.
 RANK_BITS, GROUPS = 18, 64
+#: A document's own vector has four times as many groups until so many shingles are left for each.
+PER_GROUP = 11
 #: A route is split into chunks where its group counts so many times the average.
 HOT = 8
 #: Documents that are joined by one R-tree at most, and those of a node.
@@ -136,12 +138,42 @@ class RTree:
                 yield int(self.order[x]), self.order[j[i == x]]
 
 
-def candidate_forest(points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+def unpack(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, "<u2").astype(np.int64)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def survivors(vectors: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[int, list[int]]]:
+    """(i, partners): pairs that an R-tree over the folded vectors and then the full vectors let through.
+
+    The tree's points have ``GROUPS`` groups; what it lets through is bounded
+    again over the finest groups that both documents have.
+    """
+    tree = RTree(np.stack([folded(v, GROUPS) for v in vectors]), sizes)
+    for i, partners in tree.self_join(num, den):
+        v, kept = vectors[i], []
+        for j in map(int, partners):
+            w = vectors[j]
+            if len(v) > GROUPS and len(w) > GROUPS:
+                groups = min(len(v), len(w))
+                shared = int(np.minimum(folded(v, groups), folded(w, groups)).sum())
+                if not enough(shared, int(sizes[i] + sizes[j]), num, den):
+                    continue
+            kept.append(j)
+        if kept:
+            yield i, kept
+
+
+def candidate_forest(vectors: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Smallest position that each document hangs together with by surviving pairs."""
-    forest, left = Forest(len(points)), len(points) - 1
-    for i, partners in RTree(points, sizes).self_join(num, den):
+    forest, left = Forest(len(vectors)), len(vectors) - 1
+    for i, partners in survivors(vectors, sizes, num, den):
         for j in partners:
-            left -= forest.union(i, int(j))
+            left -= forest.union(i, j)
         if not left:
             break
     return forest.roots()
@@ -194,8 +226,11 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def count_vector(shingles: np.ndarray) -> bytes:
-    """Number of shingles in each group."""
-    return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()
+    """Number of shingles in each group; the groups grow with the document, so that the bound stays sharp."""
+    groups = GROUPS
+    while len(shingles) > PER_GROUP * groups:
+        groups *= 4
+    return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
 
 
 def routes_of(shingles: np.ndarray, ranks: np.ndarray, hot: float, num: int, den: int) -> np.ndarray:
@@ -262,8 +297,7 @@ def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, peers, held = [], [], 0
         for g in sorted_groups(batches, "list"):
-            points = np.stack([np.frombuffer(c, "<i4") for c in g["counts"]])
-            roots = candidate_forest(points, g["n"].astype(np.int64), num, den)
+            roots = candidate_forest([unpack(c) for c in g["counts"]], g["n"].astype(np.int64), num, den)
             moved = np.flatnonzero(roots != np.arange(len(roots)))
             if len(moved):
                 docs.append(g["doc_id"][moved])
@@ -289,20 +323,20 @@ def _verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, num
         for g in sorted_groups(batches, "pair"):
             sets = [shingles(t) for t in g["text"]]
             sizes = np.array([len(s) for s in sets], np.int64)
-            points = np.stack([np.frombuffer(c, "<i4") for c in g["counts"]])
+            vectors = [unpack(c) for c in g["counts"]]
             forest = Forest(len(sets))
             first: dict[int, int] = {}
             for i, label in enumerate(g["label"]):  # what hangs together already is not compared again
                 forest.union(first.setdefault(int(label), i), i)
             before, rows, block = forest.roots(), [], g["block"]
             left, two = len(set(before.tolist())) - 1, bool((block != block[0]).any())
-            for i, partners in RTree(points, sizes).self_join(num, den) if left else ():
+            for i, partners in survivors(vectors, sizes, num, den) if left else ():
                 for j in partners:
                     # a block by itself is a pair of its own
-                    if two and block[i] == block[j] or forest.find(i) == forest.find(int(j)):
+                    if two and block[i] == block[j] or forest.find(i) == forest.find(j):
                         continue
-                    if similar_sets(sets[i], sets[int(j)], num, den):
-                        left -= forest.union(i, int(j))
+                    if similar_sets(sets[i], sets[j], num, den):
+                        left -= forest.union(i, j)
                 if not left:
                     break
             for i, root in enumerate(forest.roots()):
