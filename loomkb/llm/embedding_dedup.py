@@ -23,13 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkb.llm.components import Forest, connected_components, sorted_groups
+from loomkb.llm.components import Forest, sorted_groups
+from loomkb.operators.components import connected_components
 from loomkb.operators.retrieval import dot
 from loomkb.session import table
 from loomkb.storage import materialize
 
 #: Points of a block, points of a leaf, and the widest slack that rounding can need.
-BLOCK, LEAF, SLACK = 2048, 16, 1e-9
+BLOCK, LEAF, SLACK = 2048, 16, 1e-7
 #: The net is fitted on at most so many points, and has at most so many pivots.
 NET_SAMPLE, PIVOTS = 4096, 128
 #: A label gets a pivot for about so many of its points.

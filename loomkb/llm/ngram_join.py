@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkb.llm.components import Forest, connected_components, sorted_groups
+from loomkb.llm.components import Forest, sorted_groups
+from loomkb.operators.components import connected_components
 from loomkb.session import table
 from loomkb.storage import materialize
 
