@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkb.llm.tokens import Encoder
+from loomkb.llm.tokens import encoder
 from loomkb.session import table
 
 WINDOW = 2048
@@ -158,7 +158,7 @@ def pack_documents(
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer, tokenizer_path)
+        encode = encoder(tokenizer, tokenizer_path)
         end = np.array([end_id], encode.dtype).tobytes()
         width, base = encode.dtype.itemsize, TaskContext.get().partitionId() << 36
         made, steps_made = 0, 0

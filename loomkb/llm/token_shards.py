@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomkb.llm.tokens import Encoder
+from loomkb.llm.tokens import encoder
 from loomkb.session import table
 from loomkb.storage import materialize, scratch_path
 
@@ -180,7 +180,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     ranged = ranged.select(F.col("k").cast("string").alias("k"), "t")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer, tokenizer_path)
+        encode = encoder(tokenizer, tokenizer_path)
         end = np.array([end_id], encode.dtype).tobytes()
         part, seq, keys, payloads, held = TaskContext.get().partitionId(), 0, [], [], 0
 

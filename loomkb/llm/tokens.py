@@ -2,8 +2,8 @@
 
 The tokenizers split a text into words before they merge bytes, so a text's ids
 are those of its space-separated pieces one after another. Pieces repeat, so
-each task remembers the ids of the first ``REMEMBER`` different ones and asks
-the library for the rest only. A text is cut only at a space that a
+each Python worker remembers the ids of the first ``REMEMBER`` different ones,
+from task to task, and asks the library for the rest only. A text is cut only at a space that a
 non-space follows; there, both kinds of tokenizer begin a new word.
 
 For pieces of plain Latin characters the words are found here, by the
@@ -21,8 +21,8 @@ CUT = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 #: Characters that every Unicode version classes, folds and composes alike.
 PLAIN = re.compile(r"[\t\n\x21-\x7e\xa1-\xac\xae-įı-ſ]+")
-#: Different pieces and words remembered per task: about 150 MB.
-REMEMBER = 400_000
+#: Different pieces and words remembered per Python worker: about 250 MB.
+REMEMBER = 700_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -118,3 +118,14 @@ class Encoder:
             for piece in new:
                 del known[piece]
         return out
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(name: str, path: str | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer file: later tasks find what earlier ones remember."""
+    if (name, path) not in _encoders:
+        _encoders.clear()  # memory for one at a time
+        _encoders[name, path] = Encoder(name, path)
+    return _encoders[name, path]
