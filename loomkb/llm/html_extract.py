@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomkb.session import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[\s ]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +69,8 @@ def is_chrome(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
+        if name == "style" and "display:none" in value.lower().replace(" ", ""):
+            return True
         if name in ("class", "id", "role") and any(
             part in CHROME_WORDS
             for word in value.lower().split()

@@ -354,6 +354,7 @@ PAGES = {
     "<nav><ul><li><a href=/>menu</a></ul></nav>": "",
     "<div id=comments><article class=comment>me too, I think so as well</article></div><article><p>Body of it.</article>": "Body of it.",
     "<article><p>cut off in the mid": "cut off in the mid",
+    "<div style='overflow:hidden' data-hidden=x><p>shown</p></div><div style='display: none'>no</div><p hidden>no</p>": "shown",
     "<!-- <p>no</p> --><table><tr><td>x<td>y<tr><td>z</table>": "x\n\ny\n\nz",
     "<article><div class=cookie-notice>cookies</div><p>p1<aside>side</aside>tail</article>": "p1\n\ntail",
 }
