@@ -49,6 +49,8 @@ HOT = 8
 TREE, FANOUT = 4096, 16
 #: Documents of a verification block.
 BLOCK = 256
+#: Bits of the filter that spares texts nobody asks for their shuffle: 1 MB.
+FILTER_BITS = 1 << 23
 REMEMBER = 400_000
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -169,15 +171,18 @@ def survivors(vectors: list[np.ndarray], sizes: np.ndarray, num: int, den: int)
             yield i, kept
 
 
-def candidate_forest(vectors: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Smallest position that each document hangs together with by surviving pairs."""
-    forest, left = Forest(len(vectors)), len(vectors) - 1
-    for i, partners in survivors(vectors, sizes, num, den):
+def candidate_forest(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest positions that each document hangs together with: by its label, and by surviving pairs as well."""
+    forest, first = Forest(len(vectors)), {}
+    for i, label in enumerate(labels):
+        forest.union(first.setdefault(int(label), i), i)
+    before, left = forest.roots(), len(first) - 1
+    for i, partners in survivors(vectors, sizes, num, den) if left else ():
         for j in partners:
             left -= forest.union(i, j)
         if not left:
             break
-    return forest.roots()
+    return before, forest.roots()
 
 
 def similar_sets(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -293,14 +298,17 @@ def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
     lists = routed.mapInPandas(runs, "list long, docs array<long>")
     # documents that share several routes make equal lists: one of each is enough
     once = materialize(lists.groupBy("list").agg(F.min("docs").alias("docs")), "lists")
-    members = once.select("list", F.explode("docs").alias("doc_id")).join(reps.select("doc_id", "n", "counts"), "doc_id")
+    members = materialize(once.select("list", F.explode("docs").alias("doc_id")), "members")
+    points = reps.select("doc_id", "n", "counts")
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, peers, held = [], [], 0
         for g in sorted_groups(batches, "list"):
-            roots = candidate_forest([unpack(c) for c in g["counts"]], g["n"].astype(np.int64), num, den)
-            moved = np.flatnonzero(roots != np.arange(len(roots)))
+            before, roots = candidate_forest([unpack(c) for c in g["counts"]], g["n"].astype(np.int64), g["label"], num, den)
+            moved = np.flatnonzero(roots != before)
             if len(moved):
+                # one edge for each tree that joined another
+                moved = moved[np.unique(before[moved], return_index=True)[1]]
                 docs.append(g["doc_id"][moved])
                 peers.append(g["doc_id"][roots[moved]])
                 held += len(moved)
@@ -310,8 +318,41 @@ def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
         if docs:
             yield pd.DataFrame({"a": np.concatenate(docs), "b": np.concatenate(peers)})
 
-    dealt = members.repartition("list").sortWithinPartitions("list", "doc_id")
-    return dealt.select("list", "doc_id", "n", "counts").mapInPandas(joined, "a long, b long")
+    def join_lists(labelled: DataFrame) -> DataFrame:
+        dealt = labelled.join(points, "doc_id").repartition("list").sortWithinPartitions("list", "doc_id")
+        return materialize(dealt.select("list", "doc_id", "label", "n", "counts").mapInPandas(joined, "a long, b long"), "met")
+
+    # first every document in one list of its own choice: near copies choose alike and
+    # hang together after it; then only the lists whose documents are still apart
+    chosen = members.groupBy("doc_id").agg(F.min("list").alias("list")).select("list", "doc_id", F.col("doc_id").alias("label"))
+    first = join_lists(chosen)
+    joined_so_far = connected_components(first)
+    labelled = members.join(joined_so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left")
+    labelled = materialize(labelled.select("list", "doc_id", F.coalesce("c", "doc_id").alias("label")), "labelled")
+    apart = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
+    return first.unionByName(join_lists(labelled.join(apart, "list", "left_semi")))
+
+
+def _wanted_only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` of the ids, by a join; a Bloom filter keeps most others out of its shuffle.
+
+    The filter has a fixed size. With more ids than it holds it lets all texts
+    through, and the shuffle is what it would be without it.
+    """
+    hashes = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)]
+    words = ids.select(F.explode(F.array(*hashes)).alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["w"].to_numpy()] = rows["bits"].to_numpy()  # at most FILTER_BITS / 64 rows
+
+    @F.pandas_udf("boolean")
+    def may_be(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        hit = np.ones(len(x), bool)
+        for at in (x.to_numpy(), y.to_numpy(), z.to_numpy()):
+            hit &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(hit)
+
+    return texts.where(may_be(*hashes)).join(ids, "doc_id", "left_semi")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, blocks: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -392,7 +433,7 @@ def _links_within(met: DataFrame, reps: DataFrame, texts: DataFrame, n: int, num
     placed = met.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = placed.select(F.col("node").alias("doc_id"), "component", "parts", "part", F.xxhash64("component", "part").alias("block"))
     blocks = materialize(placed.join(reps.select("doc_id", "counts"), "doc_id"), "blocks")
-    wanted = materialize(texts.join(blocks.select("doc_id"), "doc_id", "left_semi"), "texts")
+    wanted = materialize(_wanted_only(texts, blocks.select("doc_id")), "texts")
     known = blocks.select("component", "parts", "part", "block").distinct()
     hub = F.xxhash64("component", F.lit(0).cast("long"))
     # each block by itself, and with the group's hub block
