@@ -44,14 +44,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the tables written for ``spark``; call it when their results are no longer read."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for owner, path in list(_written):
+        if owner is spark:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+            _written.remove((owner, path))
+
+
 @atexit.register
-def _remove_scratch() -> None:
-    for spark, path in _written:
+def _at_exit() -> None:
+    for spark in {id(s): s for s, _ in _written}.values():
         try:
-            sc = spark.sparkContext
-            if sc._jsc is None:
-                return
-            hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-        except Exception:  # the session may already be gone at interpreter exit
+            if spark.sparkContext._jsc is not None:
+                remove_scratch(spark)
+        except Exception:  # the engine may already be gone at interpreter exit
             return
