@@ -152,10 +152,9 @@ def entity_keys(spark, sf_dir):
 
 
 def related_score(spark, sf_dir):
-    """Documents of one source as issues: text alone, best five of each."""
-    d = table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id", "text")
-    described = evidence.described(d, F.col("text"))
-    return evidence.related(described, described, "doc_id", evidence.related_score("l", "r"), evidence.ISSUE_MIN)
+    """Documents as issues: text alone, best five of each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return evidence.related_texts(evidence.described(d, F.col("text")), "doc_id", evidence.ISSUE_MIN)
 
 
 def contour_suggest(spark, sf_dir):
