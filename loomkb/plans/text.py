@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomkb.functions import entities, scoring, text
-from loomkb.operators import evidence
+from loomkb.operators import evidence, joins
 from loomkb.session import table
 
 
@@ -70,11 +70,9 @@ def attrs_map(spark, sf_dir):
 
 
 def title_overlap(spark, sf_dir):
+    """Parts as documents, brands as their kinds."""
     p = table(spark, sf_dir, "part").select("p_partkey", text.title_stems(F.col("p_name")).alias("s"), "p_brand")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & F.arrays_overlap("a.s", "b.s"))
-    score = text.overlap(F.col("a.s"), F.col("b.s"))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(score, 9).alias("score")).where("score >= 0.75")
+    return joins.title_pairs(p, "p_partkey", "s", "p_brand")
 
 
 Q = {

@@ -1,7 +1,7 @@
 """Registered queries against brute force on whole small tables: nothing is left out by a filter."""
 
 import re
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -40,3 +40,23 @@ def test_related_score_covers_all_sources(spark, tmp_path, monkeypatch, block):
     want = related_by_brute_force([d[:2] for d in docs])
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want], abs=1e-9) and len({l for l, *_ in got}) > 50
+
+
+def titles_by_brute_force(parts):
+    """(a, b, score) over all pairs of (id, name, kind)."""
+    out = []
+    for (a, x, k), (b, y, m) in combinations(sorted(parts), 2):
+        s, t = ({w[:6] for w in re.findall("[a-zа-яё]+", n.lower()) if len(w) > 1 and w not in text.TITLE_STOP} for n in (x, y))
+        score = round(len(s & t) / min(len(s), len(t)) * (1.0 if k == m else 0.8), 9) if s and t else 0.0
+        out += [(a, b, score)] * (score >= 0.75)
+    return out
+
+
+def test_title_overlap_meets_across_brands(spark, tmp_path):
+    words = ["red", "hot", "blue", "plate", "ring", "widget", "anvil"]
+    rng = np.random.default_rng(7)
+    parts = [(i, " ".join(rng.choice(words, rng.integers(1, 6))), f"Brand#{i % 3}") for i in range(80)] + [(90, "v 2", "Brand#1"), (91, "", "Brand#1")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = rows(registry.queries()["title_overlap"](spark, str(tmp_path)).select("a", "b", "score"))
+    assert got == titles_by_brute_force(parts)
+    assert {s for a, b, s in got if a % 3 != b % 3} == {0.8} and 0.75 in {s for *_, s in got}
