@@ -60,3 +60,11 @@ def test_title_overlap_meets_across_brands(spark, tmp_path):
     got = rows(registry.queries()["title_overlap"](spark, str(tmp_path)).select("a", "b", "score"))
     assert got == titles_by_brute_force(parts)
     assert {s for a, b, s in got if a % 3 != b % 3} == {0.8} and 0.75 in {s for *_, s in got}
+
+
+def test_cross_join_keeps_every_order(spark, tmp_path):
+    orders = [(i, 10.0 * i) for i in range(1, 24)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(registry.queries()["join_cross_one_row"](spark, str(tmp_path)).select("o_orderkey", "ratio"))
+    mean = sum(price for _, price in orders) / len(orders)
+    assert got == [(i, round(price / mean, 6)) for i, price in orders]
