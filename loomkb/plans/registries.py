@@ -102,9 +102,10 @@ def doc_fingerprint_groups(spark, sf_dir):
 
 
 def thread_merge(spark, sf_dir):
-    """Threads that share a letter are one; the lowest id stays."""
-    letters = table(spark, sf_dir, "conversations").select("conv_id", F.md5(F.left("text", F.lit(12))).alias("k"))
-    hub = letters.groupBy("k").agg(F.min("conv_id").alias("b"))
+    """Threads that share a letter, by its whole text, are one; the lowest id stays. A letter without words joins nothing."""
+    worded = F.regexp_like("text", F.lit(r"[\p{L}\p{N}_]"))
+    letters = table(spark, sf_dir, "conversations").select("conv_id", F.when(worded, text.content_fingerprint(F.col("text"))).alias("k"))
+    hub = letters.where("k IS NOT NULL").groupBy("k").agg(F.min("conv_id").alias("b"))
     merged = connected_components(letters.join(hub, "k").select(F.col("conv_id").alias("a"), "b"))
     return letters.select("conv_id").distinct().join(merged, F.col("conv_id") == F.col("node"), "left").select("conv_id", F.coalesce("component", "conv_id").alias("thread_id"))
 

@@ -68,3 +68,12 @@ def test_cross_join_keeps_every_order(spark, tmp_path):
     got = rows(registry.queries()["join_cross_one_row"](spark, str(tmp_path)).select("o_orderkey", "ratio"))
     mean = sum(price for _, price in orders) / len(orders)
     assert got == [(i, round(price / mean, 6)) for i, price in orders]
+
+
+def test_threads_merge_on_whole_letters_only(spark, tmp_path):
+    same, hello = "Добрый день, коллеги! Отчёт готов.", "Hello everyone, here is "
+    letters = [(1, hello + "the plan"), (2, hello + "the bill"), (2, "Second letter"), (3, same), (4, "Own"), (4, "> добрый день, коллеги!\n> отчёт готов."), (5, "Own too"), (5, "second  LETTER"), (5, same)]
+    letters += [(6, "..."), (7, "..."), (8, ""), (9, ""), (10, None)]
+    spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(letters)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = dict(rows(registry.queries()["thread_merge"](spark, str(tmp_path)).select("conv_id", "thread_id")))
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2} | {i: i for i in range(6, 11)}
