@@ -238,11 +238,15 @@ def local_time(spark, sf_dir):
 def eval_recall(spark, sf_dir):
     """Share of benchmark passages that some document contains, in normalised form."""
     b = table(spark, sf_dir, "benchmark").select("item_id", text.eval_norm(F.col("text")).alias("e")).where("e <> ''")
-    d = table(spark, sf_dir, "documents").select(F.posexplode(text.words(F.col("text"))).alias("pos", "w"), "doc_id")
-    first = b.select("item_id", "e", F.get(text.words(F.col("e")), F.lit(0)).alias("w"))
-    # documents that hold the passage's first word, then the passage itself
-    met = first.join(d.select("doc_id", "w").distinct(), "w").join(table(spark, sf_dir, "documents").select("doc_id", text.eval_norm(F.col("text")).alias("t")), "doc_id")
-    found = met.where(F.contains("t", F.col("e"))).select("item_id").distinct().withColumn("hit", F.lit(1))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.eval_norm(F.col("text")).alias("t"))
+    # a passage may begin and end inside words of the document, but a word between its ends is a whole word there too
+    inner = text.words(F.regexp_replace("e", r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+$", ""))
+    keyed = b.select("item_id", "e", F.get(F.array_sort(inner, lambda x, y: F.length(y) - F.length(x)), F.lit(0)).alias("w"))
+    # documents that hold the passage's longest such word, then the passage itself; passages without one ask every document
+    met = keyed.join(d.select("doc_id", F.explode(F.array_distinct(text.words(F.col("t")))).alias("w")), "w").select("item_id", "e", "doc_id").join(d, "doc_id")
+    some = met.where(F.contains("t", F.col("e"))).select("item_id")
+    loose = keyed.where("w IS NULL").join(d, F.contains("t", F.col("e"))).select("item_id")
+    found = some.union(loose).distinct().withColumn("hit", F.lit(1))
     out = b.join(found, "item_id", "left")
     return out.agg(F.count(F.lit(1)).alias("items"), F.count("hit").alias("found"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 3).alias("recall"))
 

@@ -77,3 +77,13 @@ def test_threads_merge_on_whole_letters_only(spark, tmp_path):
     spark.createDataFrame([(c, i, t) for i, (c, t) in enumerate(letters)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = dict(rows(registry.queries()["thread_merge"](spark, str(tmp_path)).select("conv_id", "thread_id")))
     assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 2} | {i: i for i in range(6, 11)}
+
+
+def test_eval_recall_finds_passages_wherever_they_begin(spark, tmp_path):
+    docs = ["Il va à l'école «publique» de la ville.", "Some ordinary words, and nothing more?!", "плохо...   ёлка"]
+    inside = ["L'école publique de", "cole publique de la vi", "rdinary words, and noth", "?!", "dinar", "y wor", "... елк", "ordinary words and"[:14]]
+    missing = ["ordinary words and", "école privée de la", "!?", "zzz"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(inside + missing + ["", "«»"])), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["eval_recall"](spark, str(tmp_path)).first()
+    assert (got["items"], got["found"], got["recall"]) == (12, 8, 0.667)
