@@ -69,14 +69,14 @@ class Encoder:
         self.lower = bool(rule and rule[1])
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         #: Ids of pieces, and of the words in them.
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}
         self.known_words: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut before words; every piece but the first keeps its leading space."""
+    def pieces(self, text: str) -> list[str | tuple[str]]:
+        """The text cut before words; every piece but the first keeps its leading space, and the first comes in a tuple."""
         cut = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        # the first piece has no space before it and is told apart by the mark
-        cut[0] = "\0" + cut[0]
+        # the first piece has no space before it; a mark inside the string could be the text's own
+        cut[0] = (cut[0],)
         return cut
 
     def merged(self, word: str) -> bytes:
@@ -88,11 +88,11 @@ class Encoder:
                 self.known_words[word] = ids
         return ids
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str | tuple[str]]) -> None:
         known, merged, slow = self.known, self.merged, []
         for piece in new:
-            first = piece[:1] == "\0"
-            core = piece[1:] if first else piece
+            first = isinstance(piece, tuple)
+            core = piece[0] if first else piece
             if self.words and PLAIN.fullmatch(core):
                 text = core.lower() if self.lower else core if first else " " + core
                 known[piece] = b"".join([merged(w) for w in self.words(text)])
@@ -100,7 +100,7 @@ class Encoder:
                 slow.append(piece)
         for start in range(0, len(slow), 4096):
             part = slow[start : start + 4096]
-            found = self.tokenizer.encode_batch([p[1:] if p[:1] == "\0" else " " + p for p in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch([p[0] if isinstance(p, tuple) else " " + p for p in part], add_special_tokens=False)
             for piece, e in zip(part, found):
                 known[piece] = self.array(e.ids, self.dtype).tobytes()
 
@@ -108,7 +108,7 @@ class Encoder:
         """Ids of each text, as bytes of ``dtype``; null texts are empty."""
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.known
-        new: set[str] = set()
+        new: set[str | tuple[str]] = set()
         for pieces in cut:
             new.update(pieces)
         new.difference_update(known)
