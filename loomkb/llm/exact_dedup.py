@@ -69,9 +69,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep"]), "left_semi")
+    """One row of ``docs`` for each distinct text, with all its columns: the one whose id stays.
+
+    An id may carry several texts, each is decided by itself. Of several rows
+    with the id that stays, the first in the order of all columns stays. Nulls
+    and empty tables as in ``exact_dedup``.
+    """
+    decided = exact_dedup(docs, id_col, text_col, keep).where("kept")
+    kept = decided.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialize(kept, "kept")
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha"))
+    single = docs.join(kept.where("__n = 1"), same, "left_semi")
+    if not kept.where("__n > 1").take(1):
+        return single
+    rows = docs.join(kept.where("__n > 1"), same).groupBy("__id", "__sha")
+    first = rows.agg(F.min(F.struct(*[docs[c].alias(c) for c in docs.columns])).alias("__row"))
+    return single.unionByName(first.select("__row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ TREE, FANOUT = 4096, 16
 BLOCK = 256
 #: Bits of the filter that spares texts nobody asks for their shuffle: 1 MB.
 FILTER_BITS = 1 << 23
-REMEMBER = 400_000
+#: Words whose hashes a worker remembers, and rows taken from Arrow at a time.
+REMEMBER, ROWS = 120_000, 256
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -75,7 +77,7 @@ class Shingler:
                 h = known.get(w)
                 if h is None:
                     h = xxhash.xxh3_64_intdigest(w)
-                    if len(known) < REMEMBER:
+                    if len(known) < REMEMBER and len(w) < 64:
                         known[w] = h
                 ids.append(h)
         hashed = np.array(ids, np.uint64)
@@ -196,39 +198,38 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, digest, counts, routes) of every row."""
     texts = docs.select("doc_id", "text")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total = Shingler(n), np.zeros(1 << RANK_BITS, np.int64)
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                found = [shingles(t) for t in batch["text"].iloc[start : start + 256]]
+            for start in range(0, batch.num_rows, ROWS):
+                found = [shingles(t) for t in batch.slice(start, ROWS).column(0).to_pylist()]
                 total += np.bincount(rank_groups(np.concatenate(found)), minlength=len(total))
         hit = np.flatnonzero(total)
-        yield pd.DataFrame({"g": hit.astype(np.int32), "c": total[hit]})
+        yield pa.RecordBatch.from_pydict({"g": hit.astype(np.int32), "c": total[hit]})
 
     ranks = np.zeros(1 << RANK_BITS, np.int64)
-    counts = texts.select("text").mapInPandas(counted, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
+    counts = texts.select("text").mapInArrow(counted, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
     ranks[counts["g"].to_numpy()] = counts["c"].to_numpy()  # at most 2^18 numbers, whatever the corpus
     hot = max(1.0, HOT * float(ranks.mean()))
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                rows = []
-                for t in batch["text"].iloc[start : start + 512]:
+            for start in range(0, batch.num_rows, ROWS):
+                part, rows = batch.slice(start, ROWS), []
+                for t in part.column(1).to_pylist():
                     s = shingles(t)
                     if not len(s):
                         rows.append((0, None, None, None))
                         continue
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), count_vector(s), routes_of(s, ranks, hot, num, den)))
-                out = pd.DataFrame(rows, columns=["n", "digest", "counts", "routes"])
-                out.insert(0, "doc_id", batch["doc_id"].to_numpy()[start : start + 512])
-                yield out
-
-    # as text, ids beside nulls keep all their digits in pandas
-    named = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(described, "doc_id string, n long, digest binary, counts binary, routes array<long>")
-    return materialize(out.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
+                sizes, digests, counts, routes = zip(*rows)
+                described_as = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                columns = [pa.array(c, kind) for c, kind in zip((sizes, digests, counts, routes), described_as)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "digest", "counts", "routes"])
+
+    out = texts.select("doc_id", "text").mapInArrow(described, "doc_id long, n long, digest binary, counts binary, routes array<long>")
+    return materialize(out, "sets")
 
 
 def count_vector(shingles: np.ndarray) -> bytes:

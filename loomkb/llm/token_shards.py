@@ -8,20 +8,22 @@ The index is a minimal perfect hash: levels of bit arrays in which each key has
 a bit of its own, or moves on to the next level; the rank of that bit is the
 key's slot. The slot's fingerprint tells keys of the shard from others, and its
 offset leads to the ids: a keyed read costs a few bit tests and one slice,
-whatever the size of the shard.
+whatever the size of the shard. Over all shards, hash buckets hold the same kind
+of index from a key to its shard's file and offset (``write_index``, ``lookup``).
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomkb.llm.tokens import encoder
@@ -32,6 +34,10 @@ MAGIC = b"LKSHARD1"
 HEADER = struct.Struct("<8sqqqqii")  # magic, shard id, documents, ids, bytes of the index, bytes per id, null keys
 #: A shard is closed at so many ids.
 SHARD_IDS = 2_000_000
+#: Rows taken from Arrow at a time; seed of the numbers that split rows of one id.
+ROWS, SEED = 256, 7
+#: What an index slot holds.
+ENTRY = np.dtype([("print", "<u4"), ("file", "<u4"), ("at", "<i8"), ("n", "<i8")])
 GAMMA, SEED_STEP = 1.5, 0x9E3779B97F4A7C15
 
 
@@ -170,37 +176,51 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Tokenize whole texts and write shards in ascending id order below ``path``.
 
     Rows are dealt by ranges of the id before tokenizing, so the texts move
-    once and the range sampling never tokenizes. Null texts are empty, null
-    ids come first; rows of one id follow each other in order of their text.
+    once and the range sampling never tokenizes; a hash of the text and a
+    seeded number split an id that many rows share. Null and empty texts are
+    the end id alone, a text of any length is one document, null ids come
+    first, and an empty table gives no shard. Rows of one id follow each other
+    in an order of their own.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    ranged = pairs.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    # as text, ids beside nulls keep all their digits in pandas
-    ranged = ranged.select(F.col("k").cast("string").alias("k"), "t")
+    pairs = pairs.withColumns({"h": F.xxhash64("t"), "r": F.rand(SEED)})
+    order = [F.col("k").asc_nulls_first(), "h", "r"]
+    ranged = pairs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "t")
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, tokenizer_path)
         end = np.array([end_id], encode.dtype).tobytes()
         part, seq, keys, payloads, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def closed() -> pd.DataFrame:
-            return pd.DataFrame({"shard": [write_shard(part << 32 | seq, keys, payloads, encode.dtype.itemsize)]})
+        def closed() -> pa.RecordBatch:
+            data = write_shard(part << 32 | seq, keys, payloads, encode.dtype.itemsize)
+            return pa.RecordBatch.from_pydict({"shard": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for k, ids in zip(batch["k"], encode(list(batch["t"]))):
-                keys.append(None if k is None else int(k))
-                payloads.append(ids + end)
-                held += len(ids) // encode.dtype.itemsize + 1
-                if held >= SHARD_IDS:
-                    yield closed()
-                    seq, keys, payloads, held = seq + 1, [], [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                for key, ids in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
+                    keys.append(key)
+                    payloads.append(ids + end)
+                    held += len(ids) // encode.dtype.itemsize + 1
+                    if held >= SHARD_IDS:
+                        yield closed()
+                        seq, keys, payloads, held = seq + 1, [], [], 0
         if keys:
             yield closed()
 
-    out = ranged.mapInPandas(shards, "shard binary").select(F.col("shard").cast("string").alias("value"))
-    # the text writer stores the bytes of a string as they are; one shard a file
-    out.write.option("maxRecordsPerFile", 1).text(path)
+    _write_values(ranged.mapInArrow(shards, "shard binary"), "shard", f"{path}/shards")
+
+
+def _write_values(files: DataFrame, column: str, path: str, by: Sequence[str] = ()) -> None:
+    """One file for each row: the text writer stores the bytes of a string as they are."""
+    out = files.select(*by, F.col(column).cast("string").alias("value"))
+    out.write.option("maxRecordsPerFile", 1).partitionBy(*by).text(path)
+
+
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{path}/shards").select("path", "content")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +228,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     ``start`` counts the ids of all documents before it over all shards.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -226,15 +245,121 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 doc_ids[: shard.nulls] = pd.NA
                 yield pd.DataFrame({"shard": shard.id, "doc_id": doc_ids, "at": starts, "n_tokens": ends - starts, "ids_crc32": crc})
 
+    files = _shards(spark, path).select("content")
     rows = materialize(files.mapInPandas(parsed, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long"), "read")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    # one row per shard of millions of ids
-    before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = materialize(totals.select("shard", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+    part = F.shiftright("shard", 32).alias("part")
+    totals = materialize(rows.groupBy(part, "shard").agg(F.sum("n_tokens").alias("total")), "totals")
+
+    def before(*by: str) -> Column:
+        window = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("total").over(window), F.lit(0))
+
+    # shards are numbered inside the partition that wrote them: the sums run there, and over one row for each partition
+    parts = totals.groupBy("part").agg(F.sum("total").alias("total")).select("part", before("part").alias("first"))
+    bases = totals.select("part", "shard", before("part", "shard").alias("inside")).join(parts, "part")
+    bases = materialize(bases.select("shard", (F.col("first") + F.col("inside")).alias("base")), "bases")
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
+def write_index(spark: SparkSession, path: str, keys_per_bucket: int = 1 << 20) -> None:
+    """Perfect hash index over the keys of all shards below ``path``: from a key to its shard file and offset.
+
+    Keys are dealt to buckets by hash, each with a perfect hash, fingerprints,
+    shard numbers and offsets of its own; the number of buckets grows with the
+    keys. The first row of an id is indexed; null ids are not.
+    """
+
+    def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, data in zip(batch["path"], batch["content"]):
+                if not data or data == b"\n":
+                    continue
+                shard = Shard(data)
+                keys, repeats = shard.all_keys()
+                first = np.flatnonzero(repeats == 0)
+                at = shard.offsets[first]
+                yield pd.DataFrame({"k": keys[first], "file": file, "at": at, "n": shard.offsets[first + 1] - at, "shard": shard.id})
+
+    entries = _shards(spark, path).mapInPandas(located, "k long, file string, at long, n long, shard long")
+    # an id may go on in the next shard: its first row counts
+    entries = materialize(entries.groupBy("k").agg(F.min(F.struct("shard", "at", "n", "file")).alias("e")).select("k", "e.*"), "entries")
+    count = max(1, -(-entries.count() // keys_per_bucket))
+    dealt = entries.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(count)).cast("int"))
+
+    def indexed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        files, which = np.unique(group["file"].to_numpy(str), return_inverse=True)
+        hashes = key_hashes(group["k"].to_numpy(np.int64), np.zeros(len(group), np.int64))
+        index = PerfectHash.build(hashes)
+        slots, dumped, names = index.slot(hashes), index.dump(), "\n".join(files).encode()
+        table = np.zeros(len(group), ENTRY)
+        table["print"][slots] = (hashes >> np.uint64(32)).astype("<u4")
+        table["file"][slots], table["at"][slots], table["n"][slots] = which, group["at"], group["n"]
+        head = struct.pack("<qqq", len(group), len(dumped), len(names))
+        return pd.DataFrame({"bucket": [key[0]], "buckets": [count], "data": [head + dumped + names + table.tobytes()]})
+
+    built = dealt.groupBy("bucket").applyInPandas(indexed, "bucket int, buckets int, data binary")
+    _write_values(built, "data", f"{path}/index", ("buckets", "bucket"))
+
+
+class BucketIndex:
+    """An index bucket read back."""
+
+    def __init__(self, data: bytes):
+        view = memoryview(data)
+        n, size, names = struct.unpack_from("<qqq", view)
+        self.hash = PerfectHash.load(view[24 : 24 + size])
+        self.files = bytes(view[24 + size : 24 + size + names]).decode().split("\n")
+        self.entries = np.frombuffer(view, ENTRY, n, 24 + size + names)
+
+    def find(self, keys: np.ndarray) -> list[tuple[str, int, int] | None]:
+        """(file, first id, number of ids) of each key; None for keys that no shard holds."""
+        hashes = key_hashes(keys, np.zeros(len(keys), np.int64))
+        out: list[tuple[str, int, int] | None] = []
+        for slot, h in zip(self.hash.slot(hashes), hashes):
+            e = self.entries[slot] if slot >= 0 else None
+            same = e is not None and e["print"] == h >> np.uint64(32)
+            out.append((self.files[e["file"]], int(e["at"]), int(e["n"])) if same else None)
+        return out
+
+
+def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the distinct ``keys`` that some shard below ``path`` holds.
+
+    Each key asks its bucket for a file and an offset, and a slice of that file
+    is read: no shard is searched. Null keys find nothing.
+    """
+    index = spark.read.format("binaryFile").load(f"{path}/index").select("buckets", "bucket", "content")
+    row = index.select("buckets").first()
+    if row is None:
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
+    wanted = keys.select(F.col(id_col).cast("long").alias("k")).where("k IS NOT NULL").distinct()
+    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(row["buckets"])).cast("int"))
+
+    def found(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked) and len(held):
+            ids = asked["k"].to_numpy(np.int64)
+            rows = [(int(k), *e) for k, e in zip(ids, BucketIndex(held["content"].iloc[0]).find(ids)) if e]
+        return pd.DataFrame(rows, columns=["k", "path", "at", "n"])
+
+    placed = wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(found, "k long, path string, at long, n long")
+    placed = materialize(placed, "placed")
+
+    def sliced(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked) and len(held):
+            shard = Shard(held["content"].iloc[0])
+            for k, at, n in zip(asked["k"], asked["at"], asked["n"]):
+                # the fingerprint may lie: the shard knows its keys
+                if shard.keys[np.searchsorted(shard.offsets, at)] == k:
+                    rows.append((int(k), shard.ids[at : at + n].astype(np.int32)))
+        return pd.DataFrame(rows, columns=["doc_id", "ids"])
+
+    files = _shards(spark, path).join(placed.select("path").distinct(), "path", "left_semi")
+    return placed.groupBy("path").cogroup(files.groupBy("path")).applyInPandas(sliced, "doc_id long, ids array<int>")
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "shards")
+    path = scratch_path(spark, "tokens")
     write_shards(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end_id=2)
     return read_shards(spark, path)

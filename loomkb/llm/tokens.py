@@ -2,9 +2,13 @@
 
 The tokenizers split a text into words before they merge bytes, so a text's ids
 are those of its space-separated pieces one after another. Pieces repeat, so
-each Python worker remembers the ids of the first ``REMEMBER`` different ones,
-from task to task, and asks the library for the rest only. A text is cut only at a space that a
-non-space follows; there, both kinds of tokenizer begin a new word.
+each Python worker remembers the ids of those it met twice, from task to task
+and within ``PIECE_BYTES`` and ``WORD_BYTES``, and asks the library for the
+rest only. A text is cut only at a space that a non-space follows; there, both
+kinds of tokenizer begin a new word.
+
+Texts are cut ``CHARS`` characters at a time, so a worker never holds the
+pieces of more than that (or of one longer text).
 
 For pieces of plain Latin characters the words are found here, by the
 tokenizer's own pattern, and only their merges are asked of its model; all
@@ -16,13 +20,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 CUT = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 #: Characters that every Unicode version classes, folds and composes alike.
 PLAIN = re.compile(r"[\t\n\x21-\x7e\xa1-\xac\xae-įı-ſ]+")
-#: Different pieces and words remembered per Python worker: about 250 MB.
-REMEMBER = 700_000
+#: Memory of a Python worker for the ids of pieces and of words, and the bytes that an entry takes besides its key.
+PIECE_BYTES, WORD_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 180
+#: Bytes of key and ids beyond which a piece is encoded each time; hashes of pieces met once; characters cut at a time.
+LONGEST, ONCE, CHARS = 128, 100_000, 2 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,10 +56,33 @@ def word_rule(spec: dict) -> tuple[str, bool] | None:
     return None
 
 
+class Repeated(dict):
+    """What was met at least twice, up to ``most`` bytes; of what was met once only hashes are held."""
+
+    def __init__(self, most: int):
+        self.once: set[int] = set()
+        self.before: set[int] = set()
+        self.most, self.held = most, 0
+
+    def worth(self, key: str | tuple[str], value: bytes) -> bool:
+        """Whether to keep the entry: its key was met before, and there is room."""
+        h = hash(key)
+        if h in self.once or h in self.before:
+            size = len(key[0] if isinstance(key, tuple) else key) + len(value)
+            if size <= LONGEST and self.held < self.most:
+                self.held += ENTRY_BYTES + size
+                return True
+            return False
+        self.once.add(h)
+        if len(self.once) >= ONCE:
+            self.before, self.once = self.once, set()
+        return False
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 16- or 32-bit integers."""
 
-    def __init__(self, name: str, path: str | None = None, remember: int = REMEMBER):
+    def __init__(self, name: str, path: str | None = None, piece_bytes: int = PIECE_BYTES, word_bytes: int = WORD_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         import public_tokenizers
@@ -62,15 +93,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.array, self.remember = np.array, remember
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             rule = word_rule(json.load(f))
         self.words = regex.compile(rule[0]).findall if rule else None
         self.lower = bool(rule and rule[1])
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         #: Ids of pieces, and of the words in them.
-        self.known: dict[str | tuple[str], bytes] = {}
-        self.known_words: dict[str, bytes] = {}
+        self.known, self.known_words = Repeated(piece_bytes), Repeated(word_bytes)
 
     def pieces(self, text: str) -> list[str | tuple[str]]:
         """The text cut before words; every piece but the first keeps its leading space, and the first comes in a tuple."""
@@ -80,15 +110,17 @@ class Encoder:
         return cut
 
     def merged(self, word: str) -> bytes:
-        ids = self.known_words.get(word)
+        known = self.known_words
+        ids = known.get(word)
         if ids is None:
             letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.array([t.id for t in self.merge(letters)], self.dtype).tobytes()
-            if len(self.known_words) < self.remember:
-                self.known_words[word] = ids
+            ids = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+            if known.worth(word, ids):
+                known[word] = ids
         return ids
 
     def learn(self, new: list[str | tuple[str]]) -> None:
+        """Put the ids of ``new`` pieces into ``known``."""
         known, merged, slow = self.known, self.merged, []
         for piece in new:
             first = isinstance(piece, tuple)
@@ -102,20 +134,30 @@ class Encoder:
             part = slow[start : start + 4096]
             found = self.tokenizer.encode_batch([p[0] if isinstance(p, tuple) else " " + p for p in part], add_special_tokens=False)
             for piece, e in zip(part, found):
-                known[piece] = self.array(e.ids, self.dtype).tobytes()
+                known[piece] = array(self.code, e.ids).tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, as bytes of ``dtype``; null texts are empty."""
+        part, held = [], 0
+        for text in texts:
+            part.append(text)
+            held += len(text or "")
+            if held >= CHARS:
+                yield from self.encoded(part)
+                part, held = [], 0
+        yield from self.encoded(part)
+
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.pieces(t) if t else [] for t in texts]
         known = self.known
-        new: set[str | tuple[str]] = set()
+        met: set[str | tuple[str]] = set()
         for pieces in cut:
-            new.update(pieces)
-        new.difference_update(known)
-        self.learn(list(new))
+            met.update(pieces)
+        met.difference_update(known)
+        self.learn(list(met))
         out = [b"".join([known[p] for p in pieces]) for pieces in cut]
-        if len(known) > self.remember:
-            for piece in new:
+        for piece in met:
+            if not known.worth(piece, known[piece]):
                 del known[piece]
         return out
 

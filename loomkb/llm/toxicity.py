@@ -6,14 +6,15 @@
 to six letters, so inflected forms share a term. The pair factors learn what
 additive weights cannot, such as an insult next to the mention of a group.
 
-Training reads a bounded sample of labelled rows (``Settings.sample``) on the
-driver; scoring is one pass over the whole texts with no shuffle.
+Training reads a sample of labelled rows on the driver, bounded in rows and in
+bytes (``Settings``); scoring is one pass over the whole texts with no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkb.session import table
+from loomkb.storage import materialize
 
 WORD = regex.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -32,15 +34,25 @@ PREFIXES = (4, 5, 6)
 class Settings:
     #: Hash space of the terms.
     bits: int = 20
-    #: At most so many labelled rows are used for fitting; a hash of the id picks them.
+    #: At most so many labelled rows, and so many bytes of their hashed terms, are used for fitting; hashes pick them.
     sample: int = 20_000
-    #: Terms kept, by the strength of their relation to the label, and the least rows with each.
-    terms: int = 4096
+    sample_bytes: int = 128 << 20
+    #: The least sampled rows with a term, and the standard errors that make a term matter by itself.
     least: int = 5
+    clear: float = 3.0
+    #: Terms kept at most for what they say by themselves, and for what they say in pairs.
+    terms: int = 2048
+    paired: int = 512
+    #: How much farther than the median term's its factors must move for a term to matter in pairs.
+    far: float = 4.0
     factors: int = 4
+    #: Spread of the first pair factors, passes over the sample in the first and the last fit, rows of a step.
+    spread: float = 0.02
+    first_epochs: int = 3
     epochs: int = 12
+    batch: int = 8
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 1e-3
     seed: int = 7
 
 
@@ -52,80 +64,115 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray  # one row per term
 
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Row of each hashed term; those outside the model have the last one, which is all zeros."""
+        out = np.full(1 << self.bits, len(self.index), np.int32)
+        out[self.index] = np.arange(len(self.index), dtype=np.int32)
+        return out
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """Weight and factors of each term side by side."""
+        return np.vstack([np.column_stack([self.weights, self.factors]), np.zeros(1 + self.factors.shape[1])])
+
     def score(self, terms: np.ndarray) -> float:
-        at = np.searchsorted(self.index, terms)
-        at = at[at < len(self.index)] if len(self.index) == 0 else at[self.index[np.minimum(at, len(self.index) - 1)] == terms]
-        v = self.factors[at]
-        pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum())
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.bias + self.weights[at].sum() + pairs, -30, 30))))
+        found = self.rows[self.slots[terms]]
+        total = found.sum(axis=0)
+        v = found[:, 1:]
+        pairs = 0.5 * float((total[1:] ** 2).sum() - (v * v).sum())
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.bias + total[0] + pairs, -30, 30))))
 
 
 class Terms:
-    """Hashed terms of texts; remembers words up to a bound."""
+    """Distinct hashed terms of texts; remembers the first ``remember`` words."""
 
-    def __init__(self, bits: int, remember: int = 300_000):
+    def __init__(self, bits: int, remember: int = 100_000):
         self.mask, self.remember, self.known = (1 << bits) - 1, remember, {}
 
-    def of_word(self, word: str) -> tuple[int, ...]:
+    def of_word(self, word: str) -> bytes:
         forms = [word] + [word[:k] + "*" for k in PREFIXES if len(word) > k]
-        return tuple(xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) & self.mask for f in forms)
+        return b"".join((xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) & self.mask).to_bytes(4, "little") for f in forms)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found: set[int] = set()
+        found: list[bytes] = []
         known = self.known
         for word in set(WORD.findall((text or "").lower())):
             ids = known.get(word)
             if ids is None:
                 ids = self.of_word(word)
-                if len(known) < self.remember:
+                if len(known) < self.remember and len(word) < 64:
                     known[word] = ids
-            found.update(ids)
-        return np.fromiter(found, np.int64, len(found))
+            found.append(ids)
+        return np.unique(np.frombuffer(b"".join(found), "<i4"))
 
 
 def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
-    """Fit on (hashed terms, label 0/1) rows; with one label only, a constant score."""
+    """Fit on (distinct hashed terms, label 0/1) rows; with one label only, a constant score.
+
+    A first fit has every term of at least ``least`` rows. The model is fitted
+    again on the terms that matter by themselves (their shares in the two
+    labels differ by ``clear`` standard errors) or by their pairs (their
+    factors moved most in the first fit), at most ``terms`` and ``paired`` of
+    them: the noise of all others would add up in long texts.
+    """
     y = np.array([label for _, label in rows], dtype=np.float64)
     positive, empty = int(y.sum()), np.zeros(0, np.int64)
     prior = float(np.log((positive + 0.5) / (len(y) - positive + 0.5)))
+    constant = Model(settings.bits, prior, empty, np.zeros(0), np.zeros((0, settings.factors)))
     if not 0 < positive < len(y):
-        return Model(settings.bits, prior, empty, np.zeros(0), np.zeros((0, settings.factors)))
+        return constant
     size = 1 << settings.bits
-    with_label = np.zeros(size), np.zeros(size)
-    for terms, label in rows:
-        with_label[label][terms] += 1
-    n0, n1 = with_label
+    terms, lengths = np.concatenate([t for t, _ in rows]).astype(np.int64), [len(t) for t, _ in rows]
+    n1 = np.bincount(terms[np.repeat(y, lengths) == 1], minlength=size)
+    n0 = np.bincount(terms, minlength=size) - n1
+    everything = np.flatnonzero(n0 + n1 >= settings.least)
+    if not len(everything):
+        return constant
     share = (n0 + n1) / len(y)
     spread = np.sqrt(share * (1 - share) * (1 / positive + 1 / (len(y) - positive))) + 1e-12
-    strength = np.abs(n1 / positive - n0 / (len(y) - positive)) / spread
-    strength[n0 + n1 < settings.least] = 0
-    strongest = np.argsort(-strength, kind="stable")[: settings.terms]
-    index = np.sort(strongest[strength[strongest] > 2.0]).astype(np.int64)
-    k, rng = len(index), np.random.default_rng(settings.seed)
-    if k == 0:
-        return Model(settings.bits, prior, empty, np.zeros(0), np.zeros((0, settings.factors)))
-    slot = np.full(size, -1, np.int64)
+    strength = (np.abs(n1 / positive - n0 / (len(y) - positive)) / spread)[everything]
+    by_itself = np.argsort(-strength, kind="stable")[: settings.terms]
+    by_itself = everything[by_itself[strength[by_itself] > settings.clear]]
+    first = learn(rows, y, everything, settings, settings.first_epochs)
+    moved = np.linalg.norm(first.factors, axis=1) * np.sqrt(share * (1 - share))[everything]
+    in_pairs = np.argsort(-moved, kind="stable")[: settings.paired]
+    in_pairs = everything[in_pairs[moved[in_pairs] > settings.far * np.median(moved)]]
+    chosen = np.union1d(by_itself, in_pairs)
+    return learn(rows, y, chosen, settings, settings.epochs) if len(chosen) else constant
+
+
+def learn(rows: list[tuple[np.ndarray, int]], y: np.ndarray, index: np.ndarray, settings: Settings, epochs: int) -> Model:
+    """The factorization machine over the hashed terms ``index``, by adaptive gradient steps of ``batch`` rows."""
+    k, f, rng = len(index), settings.factors, np.random.default_rng(settings.seed)
+    slot = np.full(1 << settings.bits, -1, np.int64)
     slot[index] = np.arange(k)
-    docs = [s[s >= 0] for s in (np.sort(slot[terms]) for terms, _ in rows)]
-    w, v, bias = np.zeros(k), rng.normal(0, 0.01, (k, settings.factors)), prior
-    gw, gv, gb = np.full(k, 1e-8), np.full((k, settings.factors), 1e-8), 1e-8
-    for _ in range(settings.epochs):
-        for i in rng.permutation(len(docs)):
-            at = docs[i]
-            vi = v[at]
-            total = vi.sum(axis=0)
-            z = bias + w[at].sum() + 0.5 * float((total**2 - (vi * vi).sum(axis=0)).sum())
-            g = 1.0 / (1.0 + np.exp(-min(30.0, max(-30.0, z)))) - y[i]
-            gb += g * g
-            bias -= settings.rate * g / np.sqrt(gb)
-            if len(at):
-                dw = g + settings.decay * w[at]
-                dv = g * (total - vi) + settings.decay * vi
-                gw[at] += dw * dw
-                gv[at] += dv * dv
-                w[at] -= settings.rate * dw / np.sqrt(gw[at])
-                v[at] -= settings.rate * dv / np.sqrt(gv[at])
-    return Model(settings.bits, float(bias), index, w, v)
+    docs = [s[s >= 0] for s in (slot[t] for t, _ in rows)]
+    bias, seen_bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 1e-8
+    # a row of p: the term's weight, then its factors
+    p, seen = np.column_stack([np.zeros(k), rng.normal(0, settings.spread, (k, f))]), np.full((k, 1 + f), 1e-8)
+    for _ in range(epochs):
+        order = rng.permutation(len(docs))
+        for start in range(0, len(order), settings.batch):
+            part = [i for i in order[start : start + settings.batch] if len(docs[i])]
+            if not part:
+                continue
+            at, lengths = np.concatenate([docs[i] for i in part]), [len(docs[i]) for i in part]
+            first = np.r_[0, np.cumsum(lengths)[:-1]]
+            rows_at = p[at]
+            total = np.add.reduceat(rows_at, first)
+            squares = np.add.reduceat((rows_at[:, 1:] ** 2).sum(axis=1), first)
+            z = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(axis=1) - squares)
+            g = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y[part]
+            seen_bias += float(g.sum()) ** 2
+            bias -= settings.rate * float(g.sum()) / np.sqrt(seen_bias)
+            own = np.repeat(g, lengths)
+            step = own[:, None] * np.column_stack([np.ones(len(at)), np.repeat(total[:, 1:], lengths, axis=0) - rows_at[:, 1:]])
+            met, which = np.unique(at, return_inverse=True)
+            d = np.column_stack([np.bincount(which, step[:, j], len(met)) for j in range(1 + f)]) + settings.decay * p[met]
+            seen[met] += d * d
+            p[met] -= settings.rate * d / np.sqrt(seen[met])
+    return Model(settings.bits, float(bias), index, p[:, 0].astype(np.float32), p[:, 1:].astype(np.float32))
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -134,12 +181,14 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``settings.sample`` labelled rows that are not held out.
+    """Fit on at most ``sample`` labelled rows and ``sample_bytes`` of hashed terms, none of them held out.
 
     The ids of the sample are few and bounded, so they are broadcast to the
-    scan of the texts; only hashed terms of sampled rows reach the driver. An
-    id with several labels counts as toxic if one of them says so; null labels
-    and null ids teach nothing.
+    scan of the texts; only hashed terms of sampled rows reach the driver, in
+    order of their hashes until the bytes are used up. An id with several
+    labels counts as toxic if one of them says so; null labels and null ids
+    teach nothing, and equal rows of an id teach once. Without labelled rows
+    every score is the same.
     """
     usable = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     usable = usable.where("__id IS NOT NULL AND __label IN (0, 1)").where(~held_out(F.col("__id")))
@@ -151,12 +200,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(settings.bits)
         for batch in batches:
-            yield pd.DataFrame(
-                {"id": batch["__id"], "label": batch["__label"], "terms": [terms(t).astype("<i4").tobytes() for t in batch["__text"]]}
-            )
-
-    rows = sampled.mapInPandas(hashed, "id long, label int, terms binary").toPandas().sort_values(["id", "label", "terms"])
-    return fit([(np.frombuffer(t, "<i4").astype(np.int64), int(y)) for y, t in zip(rows["label"], rows["terms"])], settings)
+            yield pd.DataFrame({"id": batch["__id"], "label": batch["__label"], "terms": [terms(t).tobytes() for t in batch["__text"]]})
+
+    rows = sampled.mapInPandas(hashed, "id long, label int, terms binary")
+    rows = rows.select(F.xxhash64("id").alias("h"), "id", F.xxhash64("terms").alias("t"), "label", "terms").dropDuplicates(["id", "t"])
+    rows = materialize(rows, "sample")
+    sizes = rows.select("h", "id", "t", F.length("terms").alias("size")).orderBy("h", "id", "t").limit(settings.sample).collect()
+    held, last = 0, None
+    for r in sizes:  # at most ``sample`` rows of four numbers
+        held += r["size"]
+        if held > settings.sample_bytes:
+            break
+        last = r
+    if last is None:
+        return fit([], settings)
+    place, end = F.struct("h", "id", "t"), F.struct(*[F.lit(last[c]).alias(c) for c in ("h", "id", "t")])
+    taken = rows.where(place <= end).select("h", "id", "t", "label", "terms").toPandas().sort_values(["h", "id", "t"])
+    return fit([(np.frombuffer(t, "<i4"), int(y)) for y, t in zip(taken["label"], taken["terms"])], settings)
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -174,8 +234,10 @@ def score_column(model: Model, text: Column) -> Column:
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    Null and empty texts get the model's constant score. Ids may be null or
-    repeat; each row is scored by itself. Other columns are not looked at.
+    Null and empty texts get the model's constant score; a text of any length
+    is scored whole. Ids may be null or repeat; each row is scored by itself,
+    so equal texts get equal scores. An empty table gives an empty result.
+    Other columns are not looked at.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), score_column(model, F.col(text_col)).alias("score"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,4 +14,4 @@ def test_nul_after_a_space_is_text(name):
     whole.encode_special_tokens = True
     encode = Encoder(name)
     for text in ("a \0b", "\0b", "b \0", " \0b \0\0 b", "\0", " \0"):
-        assert np.frombuffer(encode([text])[0], encode.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(encode([text])), encode.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -70,6 +70,16 @@ def test_exact_dedup(spark, keep):
     assert kept.columns == docs.columns and kept.count() == len({(t or "").translate(UPPER) for t in TEXTS})
 
 
+def test_one_row_of_each_text_stays(spark):
+    docs = spark.createDataFrame(
+        [(1, "x", "a"), (2, "X", "b"), (1, "y", "c"), (3, "z", "d"), (3, "z", "c"), (3, "z", "c"), (None, None, "e"), (None, "", "e"), (4, "", None)],
+        "doc_id long, text string, __t string",
+    )
+    got = sorted(rows_of(exact_dedup.keep_distinct(docs), "doc_id", "text", "__t"))
+    assert got == [(1, "y", "c"), (2, "X", "b"), (3, "z", "c"), (4, "", None)]
+    assert exact_dedup.keep_distinct(docs.limit(0)).columns == docs.columns
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -310,6 +320,43 @@ def test_pairs_of_terms_are_learnt():
     assert score("n1 n2 qqinsult zzgroup") > 0.5 > max(score("n1 n2 qqinsult"), score("n1 n2 zzgroup"), score("n1 n2"))
 
 
+def test_terms_that_only_act_in_pairs_are_learnt():
+    """Exactly one of two terms makes a text toxic; neither says anything by itself."""
+    rng, terms = random.Random(4), toxicity.Terms(20)
+    rows = []
+    for _ in range(4000):
+        words = [f"w{rng.randrange(800)}" for _ in range(30)]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["alphaword"] * one + ["betaword"] * other
+        rows.append((terms(" ".join(words)), int(one != other)))
+    model = toxicity.fit(rows[:3000], toxicity.Settings())
+    assert np.mean([(model.score(t) >= 0.5) == y for t, y in rows[3000:]]) > 0.95
+
+
+def test_scores_are_those_of_the_formula():
+    rng = np.random.default_rng(6)
+    rows = [(np.unique(rng.integers(0, 300, 40)).astype("<i4"), int(rng.random() < 0.3)) for _ in range(400)]
+    model = toxicity.fit(rows, toxicity.Settings(bits=9))
+    place = {int(t): i for i, t in enumerate(model.index)}
+    for terms, _ in rows[:40]:
+        at = [place[int(t)] for t in terms if int(t) in place]
+        z = model.bias + sum(float(model.weights[i]) for i in at)
+        z += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(model.score(terms) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_toxicity_sample_is_bounded_in_bytes_and_repeats_teach_once(spark):
+    docs = [(i, f"word{i} " * 3 + ("idiot" if i % 2 else "kind")) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    once, repeated = (spark.createDataFrame(d, "doc_id long, text string") for d in (docs, docs * 3))
+    a, b = toxicity.train(once, labels), toxicity.train(repeated, labels)
+    assert a.bias == b.bias and (a.index == b.index).all() and (a.weights == b.weights).all()
+    few = toxicity.train(once, labels, toxicity.Settings(sample_bytes=20))
+    assert len(few.index) == 0
+    scored = toxicity.score_texts(repeated.limit(0), a)
+    assert scored.count() == 0 and scored.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_toxicity_on_tables(spark):
     rng = random.Random(11)
     docs, labels = [], []

@@ -42,7 +42,7 @@ def tokenizer(name):
 def test_pieces_give_the_ids_of_the_whole_text(name):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("ab é.\n\t  'sX1") for _ in range(rng.randrange(80))) for _ in range(400)]
-    encode, whole = Encoder(name, remember=50), tokenizer(name)
+    encode, whole = Encoder(name, piece_bytes=4000, word_bytes=2000), tokenizer(name)
     for _ in range(2):
         got = encode(texts)
         for text, ids in zip(texts, got):
@@ -137,3 +137,81 @@ def test_steps_have_close_costs():
     steps = packing.steps_of(sequences)
     cost = [sum(s[0][2] ** 2 for s, k in zip(sequences, steps) if k == step) for step in range(10)]
     assert max(steps) == 9 and max(cost) < 1.2 * min(cost)
+
+
+def test_index_leads_from_keys_to_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "SHARD_IDS", 200)
+    rows = [(7 * i, f"text number {i} " * (i % 9)) for i in range(300)] + [(None, "null"), (7, "again"), (7, "again")]
+    path = scratch_path(spark, "tokens")
+    token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, "word_bpe_49k.json", end_id=2)
+    token_shards.write_index(spark, path, keys_per_bucket=60)
+    asked = spark.createDataFrame([(k,) for k in [*range(0, 2400, 3), None, -1, 0, 0]], "doc_id long")
+    got = {r.doc_id: r.ids for r in token_shards.lookup(spark, path, asked).collect()}
+    whole, texts = tokenizer("word_bpe_49k.json"), dict(rows[:300])
+    assert got == {k: whole.encode(texts[k], add_special_tokens=False).ids + [2] for k in range(0, 2100, 21)}
+
+
+def test_rows_of_one_id_spread_over_shards(spark):
+    rows = [(5, f"text {i}") for i in range(400)] + [(9, "same")] * 400
+    path = scratch_path(spark, "tokens")
+    token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, "word_bpe_49k.json", end_id=2)
+    got = token_shards.read_shards(spark, path).collect()
+    assert len(got) == 800 and len({r.shard for r in got}) > 2
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and r.doc_id == (5 if r.start < sum(x.n_tokens for x in got if x.doc_id == 5) else 9)
+        at += r.n_tokens
+
+
+def tiers_only(rng, n=300):
+    return [(i, 0, rng.choice([rng.randrange(1, 60), rng.randrange(1, 700), rng.randrange(1, 5000)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("tiers", [(2048, 1024, 512, 256), (2048, 512), (2048,), (64, 16)])
+def test_windows_are_as_long_as_their_tiers(tiers):
+    rng = random.Random(11)
+    for _ in range(20):
+        pieces = tiers_only(rng)
+        full, rest = packing.pack(pieces, tiers)
+        assert {sum(p[2] for p in s) for s in full} <= set(tiers) and sum(p[2] for p in rest) < tiers[0]
+        got = sorted(p for s in [*full, rest] for p in s)
+        for doc, _, n in pieces:
+            at = 0
+            for d, start, k in (p for p in got if p[0] == doc):
+                assert start == at
+                at += k
+            assert at == n
+
+
+def test_tiers_decide_where_documents_go():
+    rng = random.Random(12)
+    pieces = [(i, 0, rng.randrange(10, 240)) for i in range(400)] + [(400 + i, 0, rng.randrange(1100, 2000)) for i in range(20)]
+    several, _ = packing.pack(pieces, (2048, 1024, 512, 256))
+    one, _ = packing.pack(pieces, (2048,))
+    assert {sum(p[2] for p in s) for s in one} == {2048}
+    assert sum(sum(p[2] for p in s) == 256 for s in several) > 50
+    # a short document is in a short window, or fills the gap of a long one
+    assert all(any(p[0] >= 400 for p in s) for s in several if sum(p[2] for p in s) == 2048)
+
+
+def test_steps_share_out_the_context_sizes():
+    rng = random.Random(13)
+    full, _ = packing.pack(tiers_only(rng, 3000))
+    steps = packing.steps_of(full)
+    by_step = {}
+    for s, k in zip(full, steps):
+        by_step.setdefault(k, []).append(sum(p[2] for p in s))
+    assert sorted(by_step) == list(range(max(steps) + 1)) and max(map(len, by_step.values())) <= packing.STEP
+    for tier in packing.TIERS:
+        counts = [sizes.count(tier) for sizes in by_step.values()]
+        assert max(counts) - min(counts) <= 2
+    ids = [sum(sizes) for sizes in by_step.values()]
+    assert max(ids) < 1.2 * min(ids)
+
+
+def test_packing_of_nothing_and_of_repeated_ids(spark):
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = [(1, "one two three"), (1, "one two three"), (1, ""), (None, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    total = len(tokenizer("byte_bpe_50k.json").encode("one two three", add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in got if p.doc_id == 1) == 2 * total + 1 and sum(p.length for p in got if p.doc_id is None) == 1
