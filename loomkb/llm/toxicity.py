@@ -122,32 +122,41 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
     constant = Model(settings.bits, prior, empty, np.zeros(0), np.zeros((0, settings.factors)))
     if not 0 < positive < len(y):
         return constant
-    size = 1 << settings.bits
-    terms, lengths = np.concatenate([t for t, _ in rows]).astype(np.int64), [len(t) for t, _ in rows]
-    n1 = np.bincount(terms[np.repeat(y, lengths) == 1], minlength=size)
-    n0 = np.bincount(terms, minlength=size) - n1
+    n0, n1 = (np.zeros(1 << settings.bits, np.int32) for _ in range(2))
+    for terms, label in rows:
+        (n1 if label else n0)[terms] += 1
     everything = np.flatnonzero(n0 + n1 >= settings.least)
     if not len(everything):
         return constant
+    n0, n1 = n0[everything], n1[everything]
     share = (n0 + n1) / len(y)
     spread = np.sqrt(share * (1 - share) * (1 / positive + 1 / (len(y) - positive))) + 1e-12
-    strength = (np.abs(n1 / positive - n0 / (len(y) - positive)) / spread)[everything]
+    strength = np.abs(n1 / positive - n0 / (len(y) - positive)) / spread
+    docs = slots_of([t for t, _ in rows], everything, 1 << settings.bits)
+    del rows
+    _, p = learn(docs, y, len(everything), settings, settings.first_epochs)
+    moved = np.linalg.norm(p[:, 1:], axis=1) * np.sqrt(share * (1 - share))
     by_itself = np.argsort(-strength, kind="stable")[: settings.terms]
-    by_itself = everything[by_itself[strength[by_itself] > settings.clear]]
-    first = learn(rows, y, everything, settings, settings.first_epochs)
-    moved = np.linalg.norm(first.factors, axis=1) * np.sqrt(share * (1 - share))[everything]
+    by_itself = by_itself[strength[by_itself] > settings.clear]
     in_pairs = np.argsort(-moved, kind="stable")[: settings.paired]
-    in_pairs = everything[in_pairs[moved[in_pairs] > settings.far * np.median(moved)]]
+    in_pairs = in_pairs[moved[in_pairs] > settings.far * np.median(moved)]
     chosen = np.union1d(by_itself, in_pairs)
-    return learn(rows, y, chosen, settings, settings.epochs) if len(chosen) else constant
+    if not len(chosen):
+        return constant
+    bias, p = learn(slots_of(docs, chosen, len(everything)), y, len(chosen), settings, settings.epochs)
+    return Model(settings.bits, bias, everything[chosen], p[:, 0], p[:, 1:])
+
+
+def slots_of(docs: list[np.ndarray], index: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places in ``index`` of each document's numbers below ``size``; those outside the index are left out."""
+    slot = np.full(size, -1, np.int32)
+    slot[index] = np.arange(len(index), dtype=np.int32)
+    return [s[s >= 0] for s in (slot[d] for d in docs)]
 
 
-def learn(rows: list[tuple[np.ndarray, int]], y: np.ndarray, index: np.ndarray, settings: Settings, epochs: int) -> Model:
-    """The factorization machine over the hashed terms ``index``, by adaptive gradient steps of ``batch`` rows."""
-    k, f, rng = len(index), settings.factors, np.random.default_rng(settings.seed)
-    slot = np.full(1 << settings.bits, -1, np.int64)
-    slot[index] = np.arange(k)
-    docs = [s[s >= 0] for s in (slot[t] for t, _ in rows)]
+def learn(docs: list[np.ndarray], y: np.ndarray, k: int, settings: Settings, epochs: int) -> tuple[float, np.ndarray]:
+    """Bias, and weight and factors of ``k`` terms, of a factorization machine fitted by adaptive gradient steps of ``batch`` rows."""
+    f, rng = settings.factors, np.random.default_rng(settings.seed)
     bias, seen_bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 1e-8
     # a row of p: the term's weight, then its factors
     p, seen = np.column_stack([np.zeros(k), rng.normal(0, settings.spread, (k, f))]), np.full((k, 1 + f), 1e-8)
@@ -172,7 +181,7 @@ def learn(rows: list[tuple[np.ndarray, int]], y: np.ndarray, index: np.ndarray,
             d = np.column_stack([np.bincount(which, step[:, j], len(met)) for j in range(1 + f)]) + settings.decay * p[met]
             seen[met] += d * d
             p[met] -= settings.rate * d / np.sqrt(seen[met])
-    return Model(settings.bits, float(bias), index, p[:, 0].astype(np.float32), p[:, 1:].astype(np.float32))
+    return float(bias), p.astype(np.float32)
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -208,15 +217,24 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     sizes = rows.select("h", "id", "t", F.length("terms").alias("size")).orderBy("h", "id", "t").limit(settings.sample).collect()
     held, last = 0, None
     for r in sizes:  # at most ``sample`` rows of four numbers
-        held += r["size"]
-        if held > settings.sample_bytes:
+        if held + r["size"] > settings.sample_bytes:
             break
-        last = r
+        held, last = held + r["size"], r
     if last is None:
         return fit([], settings)
     place, end = F.struct("h", "id", "t"), F.struct(*[F.lit(last[c]).alias(c) for c in ("h", "id", "t")])
-    taken = rows.where(place <= end).select("h", "id", "t", "label", "terms").toPandas().sort_values(["h", "id", "t"])
-    return fit([(np.frombuffer(t, "<i4"), int(y)) for y, t in zip(taken["label"], taken["terms"])], settings)
+    return fit(_read(rows.where(place <= end), held), settings)
+
+
+def _read(rows: DataFrame, size: int) -> list[tuple[np.ndarray, int]]:
+    """(terms, label) in order of the rows' hashes; the terms, at most ``size`` bytes, stay in one array and come partition by partition."""
+    everything, at, found = np.empty(size // 4, "<i4"), 0, []
+    for r in rows.select("h", "id", "t", "label", "terms").toLocalIterator(prefetchPartitions=True):
+        n = len(r["terms"]) // 4
+        everything[at : at + n] = np.frombuffer(r["terms"], "<i4")
+        found.append(((r["h"], r["id"], r["t"]), at, n, r["label"]))
+        at += n
+    return [(everything[start : start + n], label) for _, start, n, label in sorted(found)]
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -117,9 +117,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_BITS, 8])
-def test_url_rules(spark, monkeypatch, limit):
-    monkeypatch.setattr(url_filter, "MAX_BITS", limit)
+@pytest.mark.parametrize("passing", [url_filter.PASSING, 1])
+def test_url_rules(spark, monkeypatch, passing):
+    monkeypatch.setattr(url_filter, "PASSING", passing)
     rng = random.Random(5)
     names = ["com", "example.com", "net", "a.b.c.net", "x.org"]
     rules = list(url_filter.RULES) + [url_filter.Rule(rng.choice(["block", "allow"]), rng.choice(names), f"/p{i}/") for i in range(200)]
@@ -142,6 +142,14 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "url string"), url_filter.RULES).count() == 0
 
 
+def test_false_positives_shrink_from_level_to_level(spark):
+    universe = spark.range(300_000).selectExpr("concat('u', id) AS key")
+    listed = universe.where("substr(key, 2) IN ('7', '70', '700')")
+    cascade = url_filter.Cascade(listed, universe)
+    assert sum(level.size for level in cascade.levels) <= 40
+    assert sorted(r[0] for r in universe.where(cascade.contains(universe["key"])).collect()) == ["u7", "u70", "u700"]
+
+
 # mixing
 
 
@@ -182,6 +190,22 @@ def test_mixing(spark):
         assert abs(taken - targets[s]) <= max(0.01 * targets[s], 3)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r[5] for r in got)
+    rates = [sorted(rows_of(mixing.mix(docs.repartition(n)), "doc_id", "size", "rate", "taken"), key=str) for n in (3, 7, 16)]
+    assert rates[0] == rates[1] == rates[2]
+
+
+def test_mixing_of_repeated_ids_and_rows(spark):
+    rows = [(None, f"text {i} " * (i % 7), "a") for i in range(600)] + [(1, "the same words", "b")] * 3000 + [(2, "other words here", "c")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(mixing.mix(docs), "doc_id", "size", "source_size", "target", "taken", "copies")
+    assert len(got) == len(rows) and all(r[4] == r[5] * r[1] <= 3 * r[1] for r in got)
+    by_source = {}
+    for r in got:
+        by_source.setdefault((r[2], r[3]), []).append(r[4])
+    for (_, target), taken in by_source.items():
+        assert abs(sum(taken) - target) <= max(0.01 * target, 7)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.count() == sum(r[5] for r in got) and mixed.columns == docs.columns
 
 
 def test_mixing_nothing(spark):
