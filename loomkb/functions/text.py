@@ -7,6 +7,9 @@ mean the same for every script.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,25 +99,30 @@ def strip_banners(text: Column) -> Column:
     return F.regexp_replace(text, BANNER, "")
 
 
-def _cut(text: Column, pattern: str) -> Column:
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+def bind(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with ``value`` computed once, however often ``make`` names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _cut(text: Column, pattern: str, rest: Callable[[Column], Column] = lambda cut: cut) -> Column:
+    """``rest`` of what stands before the pattern; texts without it stay as they are."""
+
+    def before(t: Column) -> Column:
+        return bind(F.regexp_instr(t, F.lit(pattern)), lambda at: F.when(at > 0, rest(F.substring(t, F.lit(1), at - 1))).otherwise(t))
+
+    return bind(text, before)
 
 
 def strip_signature(text: Column) -> Column:
     """Everything from the first signature line on goes."""
-    cut = _cut(text, SIGNATURE)
-    return F.when(cut != text, F.regexp_replace(cut, r"\s+$", "")).otherwise(text)
+    return _cut(text, SIGNATURE, lambda cut: F.regexp_replace(cut, r"\s+$", ""))
 
 
 def strip_disclaimers(text: Column) -> Column:
     """Everything from a disclaimer's start on goes, and paragraphs that read like one."""
 
     def legal(p: Column) -> Column:
-        hit = F.lit(False)
-        for a, b in DISCLAIMER_PAIRS:
-            hit = hit | (F.contains(F.lower(p), F.lit(a)) & F.contains(F.lower(p), F.lit(b)))
-        return hit
+        return bind(F.lower(p), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(a)) & F.contains(low, F.lit(b)) for a, b in DISCLAIMER_PAIRS]))
 
     paragraphs = F.split(_cut(text, DISCLAIMER), r"\n\s*\n")
     return F.regexp_replace(F.array_join(F.filter(paragraphs, lambda p: ~legal(p)), "\n\n"), r"^\s+|\s+$", "")
@@ -146,15 +154,17 @@ def mask_pii(text: Column, keep_domains: tuple[str, ...] = ()) -> Column:
 
 def unwrap_safelinks(text: Column) -> Column:
     """Gateway links become the address they carry in ``url=``."""
-    marked = F.regexp_replace(
-        text, r"(?iu)https?://[\p{L}\p{N}_.-]*safelinks\.protection\.outlook\.com/\S*?[?&]url=([^&\s>)\]]+)[^\s>)\]]*", "\u0001$1\u0002"
-    )
+    link = r"(?iu)https?://[\p{L}\p{N}_.-]*safelinks\.protection\.outlook\.com/\S*?[?&]url=([^&\s>)\]]+)[^\s>)\]]*"
 
     def decoded(part: Column) -> Column:
         link, rest = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
         return F.when(F.contains(part, F.lit("\u0002")), F.concat(F.coalesce(F.try_url_decode(link), link), rest)).otherwise(part)
 
-    return F.array_join(F.transform(F.split(marked, "\u0001"), decoded), "")
+    def unwrapped(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, link, "\u0001$1\u0002"), "\u0001")
+        return F.when(F.contains(F.lower(t), F.lit("safelinks.protection.outlook.com")), F.array_join(F.transform(parts, decoded), "")).otherwise(t)
+
+    return bind(text, unwrapped)
 
 
 def dedent_quoted(text: Column) -> Column:

@@ -11,24 +11,67 @@ TABLES = (
 ).split()
 
 
+#: Built-in functions that reach beyond the tables, and the table functions that do not.
+FORBIDDEN = frozenset("java_method reflect try_reflect".split())
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple variant_explode".split())
+
+
 class ReadOnlyError(ValueError):
-    """A statement that is no plain query."""
+    """A statement that is no plain query over the registered tables."""
+
+
+def _all(seq) -> list:
+    """Elements of a Scala sequence."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _name(parts) -> str:
+    return ".".join(_all(parts)).lower()
 
 
 def check_read_only(spark: SparkSession, query: str) -> None:
-    """Reject everything but queries, by the parsed plan and not by its text."""
+    """Reject everything but queries over known tables with known functions, by the parsed plan and not by its text.
+
+    The walk covers common table expressions and subqueries. Relations must be
+    input tables, temporary views or names that the query itself defines, so
+    no path is read; functions must be known and not in ``FORBIDDEN``.
+    """
     words = query.lstrip("( \t\r\n").split(None, 1)
     if not words or words[0].lower() not in ("select", "with", "values", "from"):
         raise ReadOnlyError("only SELECT and WITH queries are allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    todo = [plan]
+    relations, functions, defined, tables = set(), set(), set(), set()
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
     while todo:
         node = todo.pop()
-        name = node.getClass().getName()
-        if ".command." in name or "Command" in name or "InsertInto" in name or node.getClass().getSimpleName().startswith(("Create", "Drop", "Alter")):
+        name, kind = node.getClass().getName(), node.getClass().getSimpleName()
+        if ".command." in name or "Command" in name or "Insert" in kind or kind.startswith(("Create", "Drop", "Alter", "Replace", "Script")):
             raise ReadOnlyError(f"statement is not read-only: {node.nodeName()}")
-        children = node.children()
-        todo.extend(children.apply(i) for i in range(children.size()))
+        if kind == "UnresolvedRelation":
+            relations.add(_name(node.multipartIdentifier()))
+        elif kind == "UnresolvedFunction":
+            functions.add(_name(node.nameParts()))
+        elif kind == "UnresolvedTableValuedFunction":
+            tables.add(_name(node.name()))
+        elif kind == "UnresolvedWith":
+            defined.update(r._1().lower() for r in _all(node.cteRelations()))
+        if hasattr(node, "expressions") and ".plans." in name or kind.startswith("Unresolved") and ".plans." in name:
+            todo += _all(node.expressions())
+        elif ".analysis." in name and kind in ("UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedHaving", "UnresolvedInlineTable"):
+            todo += _all(node.expressions())
+        todo += _all(node.children()) + [x for x in _all(node.innerChildren())]
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
+            if kind != "InSubquery":
+                todo.append(node.plan())
+            else:
+                todo.append(node.query())
+    views = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    if unknown := relations - defined - views - set(TABLES):
+        raise ReadOnlyError(f"unknown tables: {', '.join(sorted(unknown))}")
+    if unknown := tables - TABLE_FUNCTIONS:
+        raise ReadOnlyError(f"table functions that are not allowed: {', '.join(sorted(unknown))}")
+    known = {r[0].lower() for r in spark.sql("SHOW ALL FUNCTIONS").collect()} - FORBIDDEN
+    if unknown := functions - known:
+        raise ReadOnlyError(f"functions that are not allowed: {', '.join(sorted(unknown))}")
 
 
 def register(spark: SparkSession, sf_dir: str, query: str = "") -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Files of one micro-batch, seconds between polls.
 BATCH_FILES, POLL = 20, "3 seconds"
@@ -39,18 +39,24 @@ def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_unknown(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A handler that appends rows whose keys no earlier batch has; a replay sees itself and adds nothing."""
+    """A handler that appends rows whose keys no earlier batch has.
+
+    Each batch has a folder of its own and is compared with those of smaller
+    numbers only, so a replayed batch writes the same rows again.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            known = spark.read.schema(batch.schema).parquet(f"{path}/batch=*")
-            fresh = fresh.join(known.select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exists(spark, path):
+            known = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(path)
+            fresh = fresh.join(known.where(F.col("batch") < batch_id).select(*keys), keys, "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return handle
