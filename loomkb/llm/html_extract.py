@@ -1,12 +1,18 @@
 """Main text of web pages by composite text density.
 
-Every node of the page's tree gets a density from its characters, tags and
-links; a node's density sum adds up those of its children. The subtree with the
-largest sum under the body holds the article, and the threshold, the least
-density on the path from the body to it, separates text from chrome inside it.
+Every node of the page's tree gets a density: its characters per tag, adjusted
+for links. Characters inside links and inside elements whose name or class hints
+at page furniture count as links, so furniture has no density. A node's sum adds
+up the densities of its children. The subtree with the largest sum holds the
+article, and the threshold, the least density on the path from the body to it,
+decides what else belongs to it and what inside it does not.
+
+Names and classes are evidence, not verdicts: a hinted element that holds the
+page's first article, or nearly all of its text, is taken at its density.
 
 The parser is a tolerant tokenizer that builds the tree in one pass, with the
-implied end tags of HTML: a paragraph ends where a block begins.
+implied end tags of HTML: a paragraph ends where a block begins. It keeps the
+places of open elements, so its time is in proportion to the page.
 """
 
 from __future__ import annotations
@@ -22,9 +28,11 @@ from pyspark.sql import functions as F
 
 from loomkb.session import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-SPACE = re.compile(r"[\s ]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: An attribute; a quote that is never closed takes the rest of the page.
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)("|\Z)|'([^']*)('|\Z)|([^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>")
+SPACE = re.compile(r"[\s ]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -32,19 +40,21 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never article text.
-CHROME_TAGS = frozenset(
-    "nav header footer aside form script style noscript template textarea title iframe head button select option input label menu "
-    "svg canvas object embed audio video dialog fieldset xmp noembed noframes".split()
+#: Elements whose content is no running text.
+NO_TEXT = frozenset(
+    "script style noscript template textarea title iframe head button select option input label svg canvas object embed audio video xmp noembed noframes".split()
 )
-#: Words in class, id or role that mark chrome.
-CHROME_WORDS = frozenset(
+#: Elements and words in class, id or role that hint at page furniture.
+HINT_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
+HINT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments disqus respond reply replies "
     "discussion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar toolbar cookie cookies "
     "consent gdpr notice notices notification popup modal overlay alert newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations widget widgets pagination pager search form skip complementary contentinfo search-form copyright "
     "legal disclaimer".split()
 )
+#: A hint in class, id or role is overruled where at least so many characters stand in the element, and so many times more than elsewhere.
+LEAST_ARTICLE, NEARLY_ALL = 200, 20
 ENDS_PARAGRAPH = BLOCK - {"html", "body"}
 #: An open element of the key ends where one of these begins, up to a list or table around it.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,158 +62,263 @@ SCOPES = frozenset("ul ol dl table html body article section div td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "chrome", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "hint", "gone", "first", "children", "chars", "tags", "link_chars", "link_tags", "noise", "noise_chars", "anchors", "density", "total")
 
-    def __init__(self, tag: str, chrome: bool):
-        self.tag, self.chrome, self.children = tag, chrome, []
+    def __init__(self, tag: str, hint: str = "", gone: bool = False):
+        #: What hints at furniture ("tag", "word" or nothing), whether it is never text, and whether it holds the first article.
+        self.tag, self.hint, self.gone, self.first = tag, hint, gone, False
+        self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.noise, self.noise_chars, self.anchors = False, 0, 0
         self.density = self.total = 0.0
 
+    @property
+    def list_of_links(self) -> bool:
+        """Several links make up half of what is no noise in it."""
+        anchor_chars = self.link_chars - self.noise_chars
+        return self.anchors > 1 and 2 * anchor_chars >= self.chars - self.noise_chars
+
+    def nodes(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and not c.gone]
+
+
+def attributes_of(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes from ``at`` on, first of each name, and where the tag ends; -1 if it never does."""
+    out: dict[str, str] = {}
+    while True:
+        end = TAG_END.match(page, at)
+        if end:
+            return out, end.end()
+        m = ATTRIBUTE.match(page, at)
+        if not m:
+            return out, -1
+        out.setdefault(m[1].lower(), m[2] or m[4] or m[6] or "")
+        at = m.end()
 
-def is_chrome(tag: str, attributes: str) -> bool:
-    if tag in CHROME_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and any(
-            part in CHROME_WORDS
-            for word in value.lower().split()
-            if not word.startswith(("no-", "has-", "with-"))
-            for part in (word, *re.split(r"[-_]+", word))
-        ):
-            return True
-    return False
+
+def hint_of(tag: str, attributes: dict[str, str]) -> str:
+    if tag in HINT_TAGS:
+        return "tag"
+    if tag in ("html", "body", "main"):
+        return ""
+    for name in ("class", "id", "role"):
+        for word in attributes.get(name, "").lower().split():
+            if word.startswith(("no-", "has-", "with-")):
+                continue
+            if word in HINT_WORDS or not HINT_WORDS.isdisjoint(re.split(r"[-_]+", word)):
+                return "word"
+    return ""
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or "display:none" in re.sub(r"\s+", "", attributes.get("style", "").lower())
+    )
+
+
+class Open:
+    """The open elements, with the places of each tag, and of the nearest block, paragraph end and scope."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {root.tag: [0]}
+        self.block, self.ender, self.scope = [0], [0], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        self.block.append(at if node.tag in BLOCK else self.block[-1])
+        self.ender.append(at if node.tag in ENDS_PARAGRAPH else self.ender[-1])
+        self.scope.append(at if node.tag in SCOPES else self.scope[-1])
+
+    def cut(self, at: int) -> None:
+        """Close the element at place ``at`` and all inside it."""
+        for node in self.stack[at:]:
+            self.places[node.tag].pop()
+        for places in (self.stack, self.block, self.ender, self.scope):
+            del places[at:]
+
+    def place(self, tag: str) -> int:
+        """Where ``tag`` was opened last; 0 if it is not open below the root."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def begin(self, tag: str) -> None:
+        """End what cannot hold ``tag``."""
+        if tag in ENDS_PARAGRAPH and self.place("p") and self.ender[-1] == self.place("p"):
+            self.cut(self.place("p"))
+        if tag in SIBLINGS:
+            sibling = max(self.place(t) for t in SIBLINGS[tag])
+            if sibling and sibling >= self.scope[-1]:
+                self.cut(sibling)
+                if tag == "tr" and self.place("tr") > self.scope[-1]:  # the cell's row ends with it
+                    self.cut(self.place("tr"))
+
+    def end(self, tag: str) -> None:
+        """Formatting left open inside a block ends with it; a stray end tag is dropped."""
+        at = self.place(tag)
+        if at and (tag in BLOCK or self.block[-1] < at):
+            self.cut(at)
 
 
 def parse(page: str) -> Node:
-    """The page's tree; strings are text, and chrome subtrees are kept as bare nodes."""
-    root = Node("html", False)
-    stack, articles, at = [root], 0, 0
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        closing, tag, attributes, text = m.group(1, 2, 3, 4)
-        if text is not None:
-            stack[-1].children.append(text)
+    """The page's tree; strings are decoded text."""
+    root = Node("html")
+    opened, at, seen = Open(root), 0, False
+
+    def text(part: str) -> None:
+        if part:
+            opened.stack[-1].children.append(entities.unescape(part) if "&" in part else part)
+
+    while at < len(page):
+        lt = page.find("<", at)
+        if lt < 0:
+            text(page[at:])
+            break
+        text(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            end = page.find(">", lt)
+            at = len(page) if end < 0 else end + 1
             continue
-        if tag is None:
+        closing = page.startswith("</", lt)
+        name = NAME.match(page, lt + 1 + closing)
+        if not name:
+            text("<")
+            at = lt + 1
             continue
-        tag = tag.lower()
+        tag = name[0].lower()
+        attributes, at = attributes_of(page, name.end())
+        if at < 0:  # cut off inside a tag
+            break
         if closing:
-            opened = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            # formatting left open inside a block ends with it; a stray end tag is dropped
-            if opened and (tag in BLOCK or not any(n.tag in BLOCK for n in stack[opened + 1 :])):
-                del stack[opened:]
+            opened.end(tag)
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and (len(opened.stack) > 1 and tag == "html" or opened.place(tag)):
             continue
-        if tag in ENDS_PARAGRAPH:
-            opened = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if opened and not any(n.tag in ENDS_PARAGRAPH for n in stack[opened + 1 :]):
-                del stack[opened:]
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in SIBLINGS[tag] or tag == "tr" and stack[i].tag in SIBLINGS["tr"]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
-        node = Node(tag, is_chrome(tag, attributes))
-        if tag in ("article", "main") and not node.chrome:
-            if not articles:  # what holds the first article is no chrome, whatever its class says
-                for n in stack:
-                    n.chrome = n.tag in CHROME_TAGS
-            articles += 1
-        stack[-1].children.append(node)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
+        opened.begin(tag)
+        node = Node(tag, hint_of(tag, attributes), tag in NO_TEXT or hidden(attributes))
+        if tag in ("article", "main") and not (seen or node.hint or node.gone):
+            seen = True
+            for n in (*opened.stack, node):
+                n.first = True
+        opened.stack[-1].children.append(node)
+        if tag in VOID or page.startswith("/>", at - 2) and tag not in BLOCK:
             continue
         if tag in RAW:  # up to its end tag, nothing in it is markup
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 
-def post_order(root: Node) -> Iterator[Node]:
-    """Children before parents, without recursion: pages can nest very deep."""
+def top_down(root: Node) -> list[Node]:
+    """Parents before children, without recursion: pages can nest very deep."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node) and not c.chrome)
-    return reversed(order)
-
-
-def densities(root: Node) -> None:
-    for node in post_order(root):
-        for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(c.strip())
-            elif not c.chrome:
-                node.chars += c.chars
-                node.tags += c.tags + 1
-                node.link_chars += c.link_chars
-                node.link_tags += c.link_tags + (c.tag == "a")
-                node.total += c.density
+        todo.extend(node.nodes())
+    return order
+
+
+def believe_hints(order: list[Node]) -> None:
+    """Set ``noise``: inside a hinted element, unless it holds the first article or nearly all text that no hint covers."""
+    plain: dict[int, int] = {}  # characters outside links
+    outside = 0
+    covered = {id(order[0]): False}
+    in_link = {id(order[0]): False}
+    for node in order:
+        own = 0 if in_link[id(node)] else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        plain[id(node)] = own
+        outside += 0 if covered[id(node)] else own
+        for c in node.nodes():
+            covered[id(c)] = covered[id(node)] or bool(c.hint)
+            in_link[id(c)] = in_link[id(node)] or c.tag == "a"
+    for node in reversed(order):
+        plain[id(node)] += sum(plain[id(c)] for c in node.nodes())
+    for node in order:
+        most = node.hint == "word" and plain[id(node)] >= max(LEAST_ARTICLE, NEARLY_ALL * outside)
+        node.noise = node.noise or bool(node.hint) and not (node.first or most)
+        for c in node.nodes():
+            c.noise = node.noise
+            if most and c.hint == "word" and c.children and plain[id(c)] == plain[id(node)]:
+                c.hint = ""  # a wrapper inside the wrapper
+
+
+def composite(c: int, t: int, lc: int, lt: int, body_chars: int, body_links: int) -> float:
+    """Composite text density of a node with ``c`` characters and ``t`` tags, ``lc`` and ``lt`` of them in links."""
+    if not c:
+        return 0.0
+    t, lt = max(t, 1), max(lt, 1)
+    base = math.log(c * lc / max(c - lc, 1) + body_links * c / max(body_chars, 1) + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)) / math.log(base + 1.0)
+
+
+def densities(root: Node) -> list[Node]:
+    """Fill in counts, densities and sums of all nodes; returns them, parents first."""
+    order = top_down(root)
+    believe_hints(order)
+    for node in reversed(order):
+        node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.link_chars = node.noise_chars = node.chars if node.noise else 0
+        for c in node.nodes():
+            node.noise_chars += c.noise_chars
+            node.anchors += 0 if c.noise else c.anchors + (c.tag == "a")
+            node.chars += c.chars
+            node.tags += c.tags + 1
+            node.link_chars += c.link_chars
+            node.link_tags += c.link_tags + (c.tag == "a" or c.noise)
         if node.tag == "a":
             node.link_chars = node.chars
-    body_chars, body_links = max(root.chars, 1), root.link_chars
-    for node in post_order(root):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        if not c:
-            node.density = 0.0
-            continue
-        plain = max(c - lc, 1)
-        base = math.log(c * lc / plain + body_links * c / body_chars + math.e)
-        inner = max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)
-        node.density = c / t * math.log(inner) / math.log(max(base, 1.0 + 1e-9) + 1.0)
-    for node in post_order(root):
-        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.chrome) or node.density
+    for node in order:
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, root.chars, root.link_chars)
+    for node in order:
+        node.total = sum(c.density for c in node.nodes()) or node.density
+    return order
 
 
-def main_node(root: Node) -> tuple[Node, list[Node], float]:
-    """The article's subtree, its ancestors, and the least density on the path to the root."""
-    best, todo, parents = root, [(root, None)], {}
-    while todo:
-        node, parent = todo.pop()
-        parents[id(node)] = parent
-        if node.chars and node.total > best.total:
-            best = node
-        todo.extend((c, node) for c in reversed(node.children) if isinstance(c, Node) and not c.chrome)
+def main_node(order: list[Node]) -> tuple[Node, list[Node], float]:
+    """The subtree with the largest density sum, its ancestors, and the least density on the path to the root.
+
+    A subtree that holds most of the plain text of the container around it
+    stands for that container.
+    """
+    parents = {id(c): node for node in order for c in node.nodes()}
+    best = max(order, key=lambda n: n.total if n.chars > n.link_chars else 0.0)
     path = [best]
-    while parents[id(path[-1])] is not None:
+    while id(path[-1]) in parents:
         path.append(parents[id(path[-1])])
     threshold = min((n.density for n in path if n.chars), default=0.0)
-    # a part of the article stands for all of it: an enclosing article, or a
-    # container that holds little else
-    at = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), None)
-    if at is None:
-        at = 0
-        while at + 1 < len(path) and path[at + 1].tag not in ("body", "html") and 2 * path[at].chars >= path[at + 1].chars:
-            at += 1
+    at = 0
+    while at + 1 < len(path) and path[at + 1].tag not in ("body", "html"):
+        around = path[at + 1]
+        if 2 * (path[at].chars - path[at].link_chars) < around.chars - around.link_chars:
+            break
+        at += 1
     return path[at], path[at + 1 :], threshold
 
 
 def blocks_of(root: Node, article: Node, above: list[Node], threshold: float) -> list[str]:
-    """Blocks in page order: all of the article, and around it what is as dense and no list of links."""
+    """Blocks in page order: the article, and around it what is as dense; lists of links below the threshold go."""
     out: list[str] = []
     current: list[str] = []
     path = {id(n) for n in above}
 
     def flush() -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(current))).strip()
+        text = SPACE.sub(" ", "".join(current)).strip()
         current.clear()
         if text:
             out.append(text)
 
     # (node or text, whether it is inside what is kept, whether it ends here)
-    todo: list[tuple[object, bool, bool]] = [(root, False, False)]
+    todo: list[tuple[Node | str, bool, bool]] = [(root, False, False)]
     while todo:
         item, inside, ends = todo.pop()
         if isinstance(item, str):
@@ -213,18 +328,18 @@ def blocks_of(root: Node, article: Node, above: list[Node], threshold: float) ->
         if ends:
             flush()
             continue
-        if item.chrome:
+        if item.tag == "br":
+            current.append("\n")
+        thin = item.density < threshold and item.list_of_links
+        if item.gone or item.noise or thin and id(item) not in path and item is not article:
             if item.tag in BLOCK:
                 flush()
             continue
-        if item.tag == "br":
-            current.append("\n")
         if item.tag in BLOCK:
             flush()
             todo.append((item, inside, True))
         if not inside and id(item) not in path:
-            links = item.link_tags > 1 and 2 * item.link_chars >= item.chars
-            inside = item is article or item.tag == "h1" or item.density >= threshold and not links
+            inside = item is article or item.tag == "h1" or item.density >= threshold
             if not inside:
                 continue
         todo.extend((c, inside, False) for c in reversed(item.children))
@@ -237,18 +352,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    densities(root)
-    if not root.chars:
+    order = densities(root)
+    if root.chars <= root.link_chars:
         return ""
-    return "\n\n".join(blocks_of(root, *main_node(root)))
+    return "\n\n".join(blocks_of(root, *main_node(order)))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", carry: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """The ``carry`` columns with text and n_chars (code points) for every page.
 
-    Null and empty html give an empty text. Pages without markup are one block.
-    Unclosed and stray tags are repaired, a cut-off page gives what it has.
-    Repeated rows are extracted each by itself; an empty table stays empty.
+    Null and empty html give an empty text, and so do pages of links only.
+    Pages without markup are one block. Unclosed and stray tags are repaired, a
+    cut-off page gives what it has; very long and very deep pages are parsed
+    whole, in time in proportion to their length. Repeated rows are extracted
+    each by itself; an empty table stays empty.
     """
 
     @F.pandas_udf("string")

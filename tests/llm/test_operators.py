@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -427,6 +428,7 @@ PAGES = {
     "<article><p>cut off in the mid": "cut off in the mid",
     "<div style='overflow:hidden' data-hidden=x><p>shown</p></div><div style='display: none'>no</div><p hidden>no</p>": "shown",
     "<!-- <p>no</p> --><table><tr><td>x<td>y<tr><td>z</table>": "x\n\ny\n\nz",
+    "<body><p>A&<b>lt;</b>B and so on</p></body>": "A&lt;B and so on",
     "<article><div class=cookie-notice>cookies</div><p>p1<aside>side</aside>tail</article>": "p1\n\ntail",
 }
 
@@ -441,6 +443,101 @@ def test_html_cases(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+SENTENCE = "Sentences of an article that goes on for quite a while. "
+
+
+def test_a_class_word_around_the_article_is_overruled():
+    story = "".join(f"<p>{SENTENCE * 4}{i}</p>" for i in range(4))
+    for name in ("related-work", "side", "legal", "search-results share", "notice"):
+        got = html_extract.main_text(f'<body><nav><a href=x>menu</a></nav><div class="{name}">{story}</div><footer>foot</footer></body>')
+        assert got.split("\n\n") == [f"{SENTENCE * 4}{i}" for i in range(4)]
+    got = html_extract.main_text(f'<body><div><h1>T</h1>{story}</div><div class="related">{"<p>Another story to read.</p>" * 3}</div></body>')
+    assert got.split("\n\n") == ["T", *(f"{SENTENCE * 4}{i}" for i in range(4))]
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        tag = rng.choice(["div", "section", "p", "span", "a", "b"]) if depth else rng.choice(["div", "section"])
+        inner = "words " * rng.randrange(0, 30)
+        if tag in ("div", "section") and depth < 4:
+            inner += random_page(rng, depth + 1)
+        name = rng.choice(["", "", "", ' class="promo"'])
+        out.append(f"<{tag}{name}>{inner}</{tag}>")
+    return "".join(out)
+
+
+def brute_densities(root):
+    """Definitions followed node by node: counts by walking each subtree anew."""
+
+    def walk(node):
+        yield node
+        for c in node.nodes():
+            yield from walk(c)
+
+    def linked(node, above):
+        return above or node.noise or node.tag == "a"
+
+    def counts(node, above):
+        chars = links = 0
+        todo = [(node, above)]
+        while todo:
+            n, a = todo.pop()
+            a = linked(n, a)
+            own = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+            chars, links = chars + own, links + own * a
+            todo += [(c, a) for c in n.nodes()]
+        below = [n for c in node.nodes() for n in walk(c)]
+        return chars, len(below), links, sum(n.tag == "a" or n.noise for n in below)
+
+    body_chars, _, body_links, _ = counts(root, False)
+    out = {}
+    for node in walk(root):
+        c, t, lc, lt = counts(node, False)
+        if c:
+            base = np.log(c * lc / max(c - lc, 1) + body_links * c / body_chars + np.e)
+            out[id(node)] = c / max(t, 1) * np.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1 + 1e-9)) / np.log(base + 1)
+        else:
+            out[id(node)] = 0.0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_densities_and_the_choice_of_the_subtree(seed):
+    root = html_extract.parse(f"<body>{random_page(random.Random(seed))}</body>")
+    order = html_extract.densities(root)
+    want = brute_densities(root)
+    for node in order:
+        assert node.density == pytest.approx(want[id(node)], abs=1e-9)
+        assert node.total == pytest.approx(sum(want[id(c)] for c in node.nodes()) or want[id(node)], abs=1e-9)
+    article, above, threshold = html_extract.main_node(order)
+    best = max(order, key=lambda n: n.total if n.chars > n.link_chars else 0.0)
+    path, parents = [best], {id(c): n for n in order for c in n.nodes()}
+    while id(path[-1]) in parents:
+        path.append(parents[id(path[-1])])
+    assert article in path and above == path[path.index(article) + 1 :]
+    assert threshold == pytest.approx(min(want[id(n)] for n in path if n.chars), abs=1e-9)
+
+
+def test_density_decides_and_not_size(monkeypatch):
+    """A long list of short entries has more characters than the article, in many more tags."""
+    listing = "<div>" + "".join(f"<div><span>entry</span> <span>number {i}</span></div>" for i in range(120)) + "</div>"
+    page = f"<body><div>{''.join(f'<p>{SENTENCE * 3}</p>' for _ in range(4))}</div>{listing}</body>"
+    assert html_extract.main_text(page).split("\n\n") == [(SENTENCE * 3).strip()] * 4
+    monkeypatch.setattr(html_extract, "composite", lambda c, *_: float(c))
+    assert "entry number 7" in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a '" * 260_000, "<div>" * 200_000, "<p>" + "<b>" * 90_000 + "<li></li>" * 90_000, "<" * 1_000_000, "<a x='" + '"' * 10**6, "<!--" * 250_000, "<div>" * 90_000 + "</p>" * 90_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    start = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - start < 10
+
+
 # warc
 
 
