@@ -2,12 +2,14 @@
 
 Vectors are points on the unit sphere, where cosine >= c is a distance of at
 most sqrt(2 - 2c). Equal vectors of one label travel as one point with a count.
-Points of a label are dealt to the nearest pivot of a nested net, and a pivot's
-points to blocks of bounded size; two blocks meet only if the distance of their
-pivots less their covering radii is within the threshold. A pair of blocks is a
-task: each builds a cover tree (nested levels with halving radii) and a dual
-traversal drops node pairs that are too far apart, takes whole node pairs that
-are close enough, and compares the rest in double precision.
+A label with more points than a block gets a net of pivots of its own, as many
+as it has blocks, and its points are dealt to the nearest pivot's cell. Two
+cells are neighbours if the distance of their pivots less their covering radii
+is within the threshold; only blocks of neighbour cells meet, by a join on the
+table of neighbours. A pair of blocks is a task: each builds a cover tree
+(nested levels with halving radii) and a dual traversal drops node pairs that
+are too far apart, takes whole node pairs that are close enough, and compares
+the rest in double precision.
 
 A task returns link counts and a spanning forest, never pairs: a group of
 copies of any size costs rows in proportion to its size.
@@ -15,6 +17,7 @@ copies of any size costs rows in proportion to its size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,11 +33,9 @@ from loomkb.session import table
 from loomkb.storage import materialize
 
 #: Points of a block, points of a leaf, and the widest slack that rounding can need.
-BLOCK, LEAF, SLACK = 2048, 16, 1e-7
-#: The net is fitted on at most so many points, and has at most so many pivots.
-NET_SAMPLE, PIVOTS = 4096, 128
-#: A label gets a pivot for about so many of its points.
-POINTS_PER_PIVOT = 8192
+BLOCK, LEAF, SLACK = 2048, 128, 1e-7
+#: Nets are fitted on at most so many points, bytes and pivots over all labels; a cell beyond them has several blocks.
+NET_SAMPLE, NET_BYTES, PIVOTS = 16_384, 64 << 20, 2048
 
 
 @dataclass
@@ -171,7 +172,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     points = materialize(
         rows.where("good").groupBy("key", "label", "__v").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies")), "points"
     )
-    links, members = _links(points, cosine)
+    links = _links(points, cosine)
     components = connected_components(links.select(F.col("point").alias("a"), F.col("peer").alias("b")))
     totals = links.groupBy("point").agg(F.sum("links").alias("links"))
     found = points.join(totals, "point", "left").join(components.withColumnRenamed("node", "point"), "point", "left")
@@ -184,60 +185,95 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """(point, links, peer): links to other points, counted with their copies, and a smaller point of the same component."""
-    limit = float(np.sqrt(2.0 - 2.0 * cosine))
-    sample = points.select(F.size("__v").alias("dim"), "__v").orderBy(F.xxhash64("__v")).limit(NET_SAMPLE).toPandas()
+def _nets(points: DataFrame, sizes: DataFrame) -> dict[tuple, np.ndarray]:
+    """Pivots of each (label, length) that has more points than a block.
+
+    Fitted on a sample by hash: at most NET_SAMPLE points, NET_BYTES and PIVOTS
+    over all labels, shared by their sizes. All points are dealt to the pivots.
+    """
+    large = sizes.where(F.col("n") > BLOCK)
+    total = large.agg(F.sum("n").alias("n"), F.max("dim").alias("dim")).first()
+    if not total["n"]:
+        return {}
+    rows = max(1, min(NET_SAMPLE, NET_BYTES // (8 * total["dim"])))
+    mine = points.join(large.select("label", "dim", "n"), ["label", "dim"])
+    sample = mine.select("label", "dim", "n", "__v").orderBy(F.xxhash64("__v"), "label").limit(rows).toPandas()
+    share = min(1.0, PIVOTS * BLOCK / total["n"])
     nets = {}
-    for dim, group in sample.groupby("dim"):
+    for key, group in sample.groupby(["label", "dim"]):
         unit = np.stack(group["__v"].to_list())
-        nets[int(dim)] = nested_net(unit / np.linalg.norm(unit, axis=1, keepdims=True), PIVOTS)
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.lit(PIVOTS), F.ceil(F.col("n") / POINTS_PER_PIVOT)).cast("int")
-    labelled = points.join(materialize(sizes.select("label", wanted.alias("pivots")), "labels"), "label")
+        nets[key] = nested_net(unit / np.linalg.norm(unit, axis=1, keepdims=True), max(1, math.ceil(share * group["n"].iloc[0] / BLOCK)))
+    return nets
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
+
+
+def _neighbours(cells: DataFrame, nets: dict[tuple, np.ndarray], limit: float) -> DataFrame:
+    """(label, dim, cell, cell2) with cell <= cell2: cells whose points may be within ``limit``.
+
+    Radii of the nets' cells come to the driver, at most one number for each
+    pivot. Labels without a net have one cell, its own neighbour.
+    """
+    spark = cells.sparkSession
+    kind = cells.schema["label"].dataType.simpleString()
+    radii: dict[tuple, dict[int, float]] = {}
+    for r in cells.where("cell >= 0").collect():
+        radii.setdefault((r["label"], r["dim"]), {})[r["cell"]] = r["radius"]
+    parts = []
+    for key, of_cell in radii.items():
+        ids = np.array(sorted(of_cell))
+        radius = np.array([of_cell[i] for i in ids])
+        near = np.triu(distances(nets[key][ids], nets[key][ids]) - radius[:, None] - radius[None, :] <= limit + SLACK)
+        i, j = np.nonzero(near | np.eye(len(ids), dtype=bool))
+        parts.append(pd.DataFrame({"label": key[0], "dim": key[1], "cell": ids[i], "cell2": ids[j]}))
+    alone = cells.where("cell < 0").select("label", "dim", "cell", F.col("cell").alias("cell2"))
+    if not parts:
+        return alone
+    schema = f"label {kind}, dim int, cell int, cell2 int"
+    return alone.unionByName(spark.createDataFrame(pd.concat(parts), schema))
+
+
+def _links(points: DataFrame, cosine: float) -> DataFrame:
+    """(point, links, peer): links to other points, counted with their copies, and a smaller point of the same component."""
+    limit = float(np.sqrt(2.0 - 2.0 * cosine))
+    points = points.withColumn("dim", F.size("__v"))
+    sizes = materialize(points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "labels")
+    nets = _nets(points, sizes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cells, gaps, dims = [], [], []
-            for vector, pivots in zip(batch["__v"], batch["pivots"]):
-                x = np.asarray(vector, np.float64)
-                net = nets.get(len(x))
+            out = batch.assign(cell=-1, gap=2.0)
+            for key, at in batch.groupby(["label", "dim"]).indices.items():
                 # a length that the sample missed has no pivot: one cell with an open radius
+                net = nets.get(key)
                 if net is None:
-                    cell, gap = -1, 2.0
-                else:
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (net[:pivots] @ (x / np.linalg.norm(x)))))
-                    cell = int(d.argmin())
-                    gap = float(d[cell])
-                cells.append(cell)
-                gaps.append(gap)
-                dims.append(len(x))
-            out = batch[["point", "label", "copies", "__v"]].copy()
-            out["dim"], out["cell"], out["gap"] = dims, cells, gaps
+                    continue
+                for start in range(0, len(at), 1024):
+                    part = at[start : start + 1024]
+                    x = np.stack(batch["__v"].iloc[part].to_list()).astype(np.float64)
+                    d = distances(x / np.linalg.norm(x, axis=1, keepdims=True), net)
+                    out.iloc[part, out.columns.get_loc("cell")] = d.argmin(axis=1)
+                    out.iloc[part, out.columns.get_loc("gap")] = d.min(axis=1)
             yield out
 
     kind = points.schema["label"].dataType.simpleString()
-    placed = materialize(
-        labelled.mapInPandas(assign, f"point long, label {kind}, copies long, __v array<double>, dim int, cell int, gap double"), "placed"
-    )
+    columns = points.select("point", "label", "copies", "__v", "dim")
+    placed = materialize(columns.mapInPandas(assign, f"point long, label {kind}, copies long, __v array<double>, dim int, cell int, gap double"), "placed")
     cell = ["label", "dim", "cell"]
-    counted = materialize(placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "cells")
-    blocked = placed.join(counted, cell).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")))
-    block = F.xxhash64(*cell, "part").alias("block")
-    blocked = materialize(blocked.select(block, "label", "dim", "cell", "gap", "point", "copies", "__v"), "blocked")
-    blocks = materialize(blocked.groupBy("block", *cell).agg(F.max("gap").alias("radius")), "blocks").toDF("block", "label", "dim", "cell", "radius")
-    # distances of pivots: at most PIVOTS ^ 2 numbers for each vector length
-    near = [
-        (dim, i, j, float(np.sqrt(max(0.0, 2.0 - 2.0 * float(net[i] @ net[j])))))
-        for dim, net in nets.items()
-        for i in range(len(net))
-        for j in range(len(net))
-    ] + [(int(d["dim"]), -1, -1, 0.0) for d in blocks.where("cell = -1").select("dim").distinct().collect()]
-    spark = points.sparkSession
-    pivot_gaps = spark.createDataFrame(near or [(0, 0, 0, 0.0)], "dim int, cell int, cell2 int, apart double")
-    other = blocks.select(F.col("block").alias("block2"), "label", "dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"))
-    met = blocks.join(other, ["label", "dim"]).where("block <= block2").join(F.broadcast(pivot_gaps), ["dim", "cell", "cell2"])
-    met = met.where(F.col("apart") - F.col("radius") - F.col("radius2") <= limit + SLACK)
+    cells = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.max("gap").alias("radius"))
+    cells = materialize(cells, "cells")
+    block = lambda c, part: F.xxhash64("label", "dim", c, part)
+    dealt = placed.join(cells.select(*cell, "parts"), cell).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")))
+    blocked = materialize(dealt.select(block("cell", "part").alias("block"), "point", "copies", "__v"), "blocked")
+    # blocks of neighbour cells: numbers of parts, multiplied out
+    counts = cells.select(*cell, "parts")
+    met = _neighbours(cells, nets, limit).join(counts, cell).join(counts.select("label", "dim", F.col("cell").alias("cell2"), F.col("parts").alias("parts2")), ["label", "dim", "cell2"])
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    first = F.when(F.col("cell") == F.col("cell2"), F.col("part")).otherwise(F.lit(0).cast("long"))
+    met = met.withColumn("part2", F.explode(F.sequence(first, F.col("parts2") - 1)))
+    met = met.select(block("cell", "part").alias("block"), block("cell2", "part2").alias("block2"))
     pairs = materialize(met.select(F.xxhash64("block", "block2").alias("pair"), "block", "block2"), "pairs")
     sides = pairs.select("pair", "block", F.lit(0).alias("side"), (F.col("block") == F.col("block2")).alias("same")).union(
         pairs.where("block <> block2").select("pair", F.col("block2"), F.lit(1), F.lit(False))
@@ -262,7 +298,7 @@ def _links(points: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"point": g["point"][hit].astype(np.int64), "links": out.links[hit], "peer": peers[hit]})
 
     links = shipped.select("pair", "side", "same", "point", "copies", "__v").mapInPandas(traverse, "point long, links long, peer long")
-    return materialize(links, "links"), blocked
+    return materialize(links, "links")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
