@@ -26,6 +26,7 @@ How work stays bounded:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ PER_GROUP = 11
 HOT = 8
 #: Documents that are joined by one R-tree at most, and those of a node.
 TREE, FANOUT = 4096, 16
-#: Documents of a verification block.
-BLOCK = 256
+#: Documents of a verification block; a pair of blocks is a task's unit of work.
+BLOCK = 96
 #: Bits of the filter that spares texts nobody asks for their shuffle: 1 MB.
 FILTER_BITS = 1 << 23
 #: Words whose hashes a worker remembers, and rows taken from Arrow at a time.
@@ -195,7 +196,7 @@ def similar_sets(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, digest, counts, routes) of every row."""
+    """(doc_id, n, digest, counts, routes, reach) of every row."""
     texts = docs.select("doc_id", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +221,14 @@ def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     s = shingles(t)
                     if not len(s):
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), count_vector(s), routes_of(s, ranks, hot, num, den)))
-                sizes, digests, counts, routes = zip(*rows)
-                described_as = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                columns = [pa.array(c, kind) for c, kind in zip((sizes, digests, counts, routes), described_as)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "digest", "counts", "routes"])
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), count_vector(s), *routes_of(s, ranks, hot, num, den)))
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n", "digest", "counts", "routes", "reach"])
 
-    out = texts.select("doc_id", "text").mapInArrow(described, "doc_id long, n long, digest binary, counts binary, routes array<long>")
+    out = texts.select("doc_id", "text").mapInArrow(described, "doc_id long, n long, digest binary, counts binary, routes array<long>, reach array<long>")
     return materialize(out, "sets")
 
 
@@ -240,62 +240,96 @@ def count_vector(shingles: np.ndarray) -> bytes:
     return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u2").tobytes()
 
 
-def routes_of(shingles: np.ndarray, ranks: np.ndarray, hot: float, num: int, den: int) -> np.ndarray:
-    """Routes of the rarest shingles: any similar set shares one of them with its own rarest.
+def routes_of(shingles: np.ndarray, ranks: np.ndarray, hot: float, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Routes of the rarest shingles, any similar set shares one of them with its own rarest; and the largest set that can be met by each.
 
     A similar set holds at least ceil(num / den * n) of the n shingles, so one
     of the first n - that + 1 in any common order is among the partner's first.
+    If the first common shingle is at place i, at most n - i are common, which
+    bounds the partner's size.
     """
     n = len(shingles)
     counts = ranks[rank_groups(shingles)]
     first = np.lexsort((shingles, counts))[: n + (-num * n // den) + 1]
+    reach = (n - np.arange(len(first), dtype=np.int64)) * (den + num) // num - n
     keys, parts = shingles[first], np.ceil(counts[first] / hot).astype(np.int64)
     if (parts <= 1).all():
-        return keys.view(np.int64)
-    own, out = int(xxhash.xxh3_64_intdigest(shingles.tobytes())), [keys[parts <= 1].view(np.int64)]
-    for key, p in zip(keys[parts > 1], parts[parts > 1]):
+        return keys.view(np.int64), reach
+    own = int(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+    out, most = [keys[parts <= 1].view(np.int64)], [reach[parts <= 1]]
+    for key, p, r in zip(keys[parts > 1], parts[parts > 1], reach[parts > 1]):
         # one chunk of the hot route, met with every chunk
         c = xxhash.xxh3_64_intdigest(int(key).to_bytes(8, "little"), seed=own) % int(p)
         pairs = [(min(c, x), max(c, x)) for x in range(int(p))]
         out.append(np.array([xxhash.xxh3_64_intdigest(f"{key}:{i}:{j}") for i, j in pairs], np.uint64).view(np.int64))
-    return np.concatenate(out)
+        most.append(np.full(len(pairs), r))
+    return np.concatenate(out), np.concatenate(most)
+
+
+def shared_routes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(documents, sizes) of each route, for those that may have a partner on it.
+
+    Rows come sorted by route and size, and one route is held at a time. A
+    document whose reach is below the smallest other size on the route has no
+    partner there.
+    """
+    held = np.zeros((0, 4), np.int64)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, batch[["route", "doc_id", "n", "reach"]].to_numpy(np.int64)])
+        cuts = np.r_[0, np.flatnonzero(held[1:, 0] != held[:-1, 0]) + 1, len(held)]
+        if batch is not None:  # the last route may go on
+            cuts = cuts[:-1]
+        rows, held = held[: cuts[-1]], held[cuts[-1] :]
+        left = len(rows) + 1
+        while len(rows) < left:
+            left, lengths = len(rows), np.diff(cuts)
+            first = np.repeat(cuts[:-1], lengths)
+            shared = np.repeat(lengths > 1, lengths)
+            # the smallest other one: the first of the route, for itself the second
+            other = np.where(np.arange(left) == first, np.minimum(first + 1, left - 1), first)
+            rows = rows[shared & (rows[:, 3] >= rows[other, 2])]
+            cuts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if end > start:
+                yield rows[start:end, 1], rows[start:end, 2]
 
 
 def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(doc_id, peer) edges of documents that some R-tree lets meet."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a task's share: 16 bytes a row
-        routes, ids = [], []
-        for batch in batches:
-            routes.append(batch["route"].to_numpy(np.int64))
-            ids.append(batch["doc_id"].to_numpy(np.int64))
-        if not routes:
-            return
-        route, doc = np.concatenate(routes), np.concatenate(ids)
-        order = np.lexsort((doc, route))
-        route, doc = route[order], doc[order]
-        cuts = np.r_[0, np.flatnonzero(route[1:] != route[:-1]) + 1, len(route)]
         seen: set[int] = set()
         rows: list[tuple[int, np.ndarray]] = []
-        for start, end in zip(cuts[:-1], cuts[1:]):
-            if end - start < 2:
-                continue
-            chunks = [doc[i : min(i + TREE // 2, end)] for i in range(start, end, TREE // 2)]
-            for i, x in enumerate(chunks):
-                for y in chunks[i + 1 :] or ([np.zeros(0, np.int64)] if len(chunks) == 1 else []):
-                    members = np.concatenate([x, y])
-                    name = xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
-                    if name not in seen:
-                        seen.add(name)
-                        rows.append((name, members))
+
+        def add(members: np.ndarray) -> None:
+            name = xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+            if name not in seen:
+                seen.add(name)
+                rows.append((name, members))
+
+        half = TREE // 2
+        for doc, size in shared_routes(batches):
             if len(rows) >= 5000:
                 yield pd.DataFrame(rows, columns=["list", "docs"])
-                rows = []
+                rows.clear()
+            if len(doc) <= half:
+                add(np.sort(doc))
+                continue
+            starts = range(0, len(doc), half)
+            for i, x in enumerate(starts):
+                end = min(x + half, len(doc))
+                # larger documents than these cannot be similar to any of the chunk
+                others = [y for y in starts[i + 1 :] if den * size[end - 1] >= num * size[y]]
+                for y in others:
+                    add(np.sort(np.r_[doc[x:end], doc[y : y + half]]))
+                if not others and end - x > 1:
+                    add(np.sort(doc[x:end]))
         if rows:
             yield pd.DataFrame(rows, columns=["list", "docs"])
 
-    routed = reps.select("doc_id", F.explode("routes").alias("route")).repartition("route")
+    routed = reps.select("doc_id", "n", F.explode(F.arrays_zip("routes", "reach")).alias("r")).select("doc_id", "n", F.col("r.routes").alias("route"), F.col("r.reach").alias("reach"))
+    routed = routed.repartition("route").sortWithinPartitions("route", "n", "doc_id")
     lists = routed.mapInPandas(runs, "list long, docs array<long>")
     # documents that share several routes make equal lists: one of each is enough
     once = materialize(lists.groupBy("list").agg(F.min("docs").alias("docs")), "lists")
@@ -410,7 +444,7 @@ def jaccard_components(
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # one row for each set: the smallest id that has it
     reps = materialize(
-        full.join(classes, (F.col("doc_id") == F.col("rep")) & (full["digest"] == classes["digest"]), "left_semi").select("doc_id", "n", "counts", "routes"),
+        full.join(classes, (F.col("doc_id") == F.col("rep")) & (full["digest"] == classes["digest"]), "left_semi").select("doc_id", "n", "counts", "routes", "reach"),
         "reps",
     )
     met = connected_components(_candidates(reps, num, den))

@@ -222,7 +222,6 @@ def test_mixing_nothing(spark):
 @pytest.mark.parametrize("block", [40, 2048])
 def test_embedding_links_match_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-    monkeypatch.setattr(embedding_dedup, "POINTS_PER_PIVOT", block)
     rng = np.random.default_rng(7)
     vectors = []
     for label in (0, 1, None):
