@@ -324,8 +324,8 @@ ORACLES = {
     "doc_fingerprint_groups": r"""
         SELECT sha1(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g')) AS fingerprint, min(doc_id) AS canonical, count(*) AS n
         FROM documents GROUP BY 1 HAVING count(*) > 1""",
-    "thread_merge": """
-        WITH RECURSIVE k AS (SELECT DISTINCT conv_id, md5(left(text, 12)) AS k FROM conversations),
+    "thread_merge": r"""
+        WITH RECURSIVE k AS (SELECT DISTINCT conv_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN sha1(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g')) END AS k FROM conversations),
         r AS (SELECT conv_id AS a, conv_id AS b FROM k UNION SELECT r.a, y.conv_id FROM r JOIN k x ON x.conv_id = r.b JOIN k y ON y.k = x.k)
         SELECT a AS conv_id, min(b) AS thread_id FROM r GROUP BY a""",
     "sender_fill": """

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomkb.plans import registries, relational, search, text
+from loomkb.plans import casework, registries, relational, search, text
 
 #: Every module has QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES = (search, relational, text, registries)
+MODULES = (search, relational, text, registries, casework)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,10 +136,11 @@ ORACLES = {
         SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'issue' ELSE 'question' END AS primary,
                CAST(CASE turn % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS DOUBLE) AS score, turn % 3 < 2 AS is_issue, turn % 3 = 1 AS confident FROM conversations""",
     "title_overlap": f"""
-        WITH s AS (SELECT p_partkey, p_brand, {_STEMS} AS s FROM part)
-        SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 9) AS score
-        FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
-        WHERE least(len(a.s), len(b.s)) > 0 AND len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) >= 0.75""",
+        WITH s AS (SELECT p_partkey, p_brand, {_STEMS} AS s FROM part),
+        c AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
+                     round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) * CASE WHEN a.p_brand <> b.p_brand THEN 0.8 ELSE 1.0 END, 9) AS score
+              FROM s a JOIN s b ON a.p_partkey < b.p_partkey WHERE least(len(a.s), len(b.s)) > 0)
+        SELECT a, b, score FROM c WHERE score >= 0.75""",
 }
 
 
@@ -186,7 +187,7 @@ ORACLES |= {
         UNION ALL SELECT p_partkey, 'server', 'srvapp' || (p_partkey % 50) FROM part""",
     "related_score": f"""
         WITH s AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-zа-яё]{{4,}}'),
-                   lambda w: NOT list_contains([{_STEM_STOP}], w)), lambda w: left(w, 6))) AS s FROM documents WHERE source = 'src3'),
+                   lambda w: NOT list_contains([{_STEM_STOP}], w)), lambda w: left(w, 6))) AS s FROM documents),
         p AS (SELECT a.doc_id AS l_id, b.doc_id AS r_id, len(list_intersect(a.s, b.s)) / sqrt(len(a.s) * len(b.s)) AS c FROM s a JOIN s b ON a.doc_id <> b.doc_id
               WHERE len(a.s) > 0 AND len(b.s) > 0),
         q AS (SELECT l_id, r_id, round(c, 9) AS score FROM p WHERE round(c, 9) >= 0.3)
