@@ -108,7 +108,7 @@ class Terms:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
-    """Fit on (distinct hashed terms, label 0/1) rows; with one label only, a constant score.
+    """Fit on (distinct hashed terms, label 0/1) rows; with one label only, a constant score, without rows one below a half.
 
     A first fit has every term of at least ``least`` rows. The model is fitted
     again on the terms that matter by themselves (their shares in the two
@@ -118,7 +118,7 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
     """
     y = np.array([label for _, label in rows], dtype=np.float64)
     positive, empty = int(y.sum()), np.zeros(0, np.int64)
-    prior = float(np.log((positive + 0.5) / (len(y) - positive + 0.5)))
+    prior = float(np.log((positive + 0.5) / (len(y) - positive + 0.5))) if rows else -1.0
     constant = Model(settings.bits, prior, empty, np.zeros(0), np.zeros((0, settings.factors)))
     if not 0 < positive < len(y):
         return constant

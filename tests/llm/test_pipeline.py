@@ -89,3 +89,60 @@ def test_stages(spark, tmp_path):
         total[p.doc_id] = total.get(p.doc_id, 0) + p.length
     assert total == {i: n * next(p.doc_tokens for p in pieces if p.doc_id == i) for i, n in copies.items()}
     assert corpus_pipeline.run(spark, sf).count() == len(pieces)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, rows that share an id, very long texts and columns with the names that operators use."""
+    sf = str(tmp_path)
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(i, words(40), "en", f"s{i % 2}", 0, "x", 1.0) for i in range(60)]
+    rows += [rows[0]] * 3 + [(0, words(30), "en", "s0", 0, "y", None), (None, words(20), None, None, None, None, None), (None, None, "en", "s1", 0, "z", 2.0)]
+    rows += [(90, None, "en", "s1", 0, "z", 2.0), (91, "", "en", "s1", 0, "z", 2.0), (92, words(60_000), "en", "s0", 1, "long", 3.0)]
+    schema = COLUMNS + ", label string, score double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    state = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, counts = state.columns, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, state, sf).write.parquet(f"{sf}/{k}")
+        state = spark.read.parquet(f"{sf}/{k}")
+        counts.append(state.count())
+        assert k == 4 or state.columns == columns
+    # without labels nothing is toxic; the repeated row stays once, of the texts that are null or empty one stays
+    assert counts[0] == len(rows) and counts[1] == len(rows) - 3 - 2 and counts[2] == counts[1]
+    kept = spark.read.parquet(f"{sf}/1").collect()
+    assert sorted(r.doc_id for r in kept if not r.text) == [91]
+    assert sum(r.doc_id == 0 for r in kept) == 2 and sum(r.doc_id is None for r in kept) == 1
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/3").select("doc_id").collect()}
+    assert {r.doc_id for r in state.select("doc_id").collect()} == ids
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_mixing_stage_takes_what_the_targets_ask_for(spark, tmp_path):
+    """Words of each source against shares worked out one by one."""
+    rng = random.Random(22)
+    rows = [(i, "w " * rng.randrange(1, 300), "en", rng.choice("abbbbc"), 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    sizes = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"}
+    want, free, left = {}, dict(zip("abc", (1, 2, 3))), sum(sizes.values())
+    while True:
+        share = {s: left * w / sum(free.values()) for s, w in free.items()}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3 * sizes[s]
+            left -= want[s]
+            del free[s]
+    want |= share
+    got = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    for s in "abc":
+        taken = sum(len(r.text.split()) for r in got if r.source == s)
+        assert abs(taken - want[s]) <= max(0.01 * want[s], 3)
