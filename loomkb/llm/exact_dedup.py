@@ -6,7 +6,9 @@ Plan, all DataFrame expressions:
 2. partial aggregation by hash counts groups before anything is shuffled, so a
    group that holds a third of all rows travels as one row per task;
 3. only texts of groups with two or more rows are grouped again on their bytes;
-   two texts that collide in the 128-bit hash fall apart there;
+   two texts that collide in the 128-bit hash fall apart there. A Bloom filter
+   of the hashes of such groups, of bounded size, keeps most other texts out of
+   the shuffle;
 4. decisions are joined back on the hash, a plain sort-merge join that
    adaptive execution can split where one hash is hot.
 """
@@ -16,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkb.llm.bloom import build_level
 from loomkb.session import table
 from loomkb.storage import materialize
 
+#: Words of the filter of repeated hashes at most: 8 MB.
+FILTER_WORDS = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,12 +50,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "hashes",
     )
     groups = materialize(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("keep_id")), "groups")
-    repeated = groups.where("n > 1").select("h")
-    suspects = hashed.join(repeated, "h", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"))
+    repeated = groups.where("n > 1").select(F.col("h").alias("key"))
+    maybe = build_level(repeated, 0, 1, FILTER_WORDS).holds(F.unhex(F.md5("t")))
+    # equal texts are counted before they are shuffled
     same_bytes = (
-        texts.join(suspects, texts["doc_id"].eqNullSafe(suspects["doc_id"]), "left_semi")
-        .select("doc_id", normalised(F.col("__t")).alias("t"))
+        docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+        .where(maybe)
         .groupBy("t")
         .agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("keep_id"))
         .where("n > 1")

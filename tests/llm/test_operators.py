@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomkb.llm import embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, toxicity, url_filter, warc
+from loomkb.llm import bloom, embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, toxicity, url_filter, warc
 from loomkb.operators.components import connected_components
 from loomkb.storage import scratch_path
 
@@ -118,9 +118,9 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("passing", [url_filter.PASSING, 1])
+@pytest.mark.parametrize("passing", [bloom.PASSING, 1])
 def test_url_rules(spark, monkeypatch, passing):
-    monkeypatch.setattr(url_filter, "PASSING", passing)
+    monkeypatch.setattr(bloom, "PASSING", passing)
     rng = random.Random(5)
     names = ["com", "example.com", "net", "a.b.c.net", "x.org"]
     rules = list(url_filter.RULES) + [url_filter.Rule(rng.choice(["block", "allow"]), rng.choice(names), f"/p{i}/") for i in range(200)]
