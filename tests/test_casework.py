@@ -286,3 +286,45 @@ def test_functions_in_sql_and_tools(spark):
         return {"answer": messages[-1]["content"]} if messages[-1]["role"] == "tool" else {"tool": "sql", "arguments": '{"query": "SELECT 1 AS one"}'}
 
     assert tools.run_agent("q", table, model)["answer"] == '[{"one": 1}]'
+
+
+def test_intake(spark, tmp_path):
+    import io
+    import zipfile
+
+    from loomkb.functions import threads
+    from loomkb.operators import intake
+
+    xml = "<y><response><results><grouping><group><doc><url>u1</url><domain>d</domain><title>T1</title><passages><passage>snip</passage></passages></doc></group></grouping></results></response></y>"
+    pages = spark.createDataFrame([("q", xml), ("e", "<y><response><error code='15'>no</error></response></y>")], "query string, xml string")
+    assert rows(intake.search_results(pages)) == [("q", 0, "T1", "u1", "d", "snip")]
+    files = spark.createDataFrame([(1, i, f"h{i % 12}", "x" * 5000) for i in range(14)], "message long, position int, sha256 string, text string")
+    shown = intake.attachment_texts(files)
+    assert shown.count() == 10 and shown.agg(F.sum(F.length("shown"))).first()[0] == 30_000
+    ents = spark.createDataFrame([("c", "Заказ", "k1"), ("c", "Склад", "k2"), ("d", "Склад", "k3")], "chunk string, name string, key string")
+    rels = spark.createDataFrame([("c", "заказ", "Склад", "uses"), ("c", "заказ", "Нет", "uses")], "chunk string, source string, target string, kind string")
+    assert rows(intake.resolved_relations(ents, rels)) == [("c", "k1", "uses", "k2")]
+    body = "Добрый день\nС уважением,\nИван Петров\nБухгалтер\nООО Ромашка\n+7 912 345-67-89"
+    assert tuple(one(spark, intake.signature(C("b"), C("n")), b=body, n="Иван Петров")) == ("Бухгалтер", "+7 912 345-67-89", "ООО Ромашка")
+    assert [tuple(x) for x in one(spark, intake.toc_lines(C("t")), t="Глава первая .... 5\nпросто строка\nГлава 2 — 17")] == [("Глава первая", 5), ("Глава 2", 17)]
+    mail = spark.createDataFrame([("m.eml", "Ann", T(2024, 5, 1), "S", "a\nOn 1 Jan 2024 10:00, Bob wrote:\n> b")], "source string, sender string, sent_at timestamp, subject string, body string").withColumn("t", threads.thread_of(C("body")))
+    assert rows(intake.chain_rows(mail), "part", "origin", "sender", "text") == [("m.eml#quote1", "quoted", "Bob", "b"), ("m.eml", "file", "Ann", "a")]
+    items = spark.createDataFrame([(1, "a.docx", "tz", "", "new", "add")], "position int, filename string, kind string, about string, relation string, action string")
+    assert intake.file_block(items).first()["line"] == "1. a.docx — tz; new; → add"
+    for _ in range(2):
+        intake.journal(ents, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+    asked = spark.createDataFrame([("a", T(2024, 5, 1, 10)), ("b", T(2024, 5, 1, 10))], "city string, at timestamp")
+    had = spark.createDataFrame([("a", T(2024, 5, 1, 9, 55), "sun"), ("b", T(2024, 5, 1, 9), "rain")], "city string, answered_at timestamp, answer string")
+    fresh, again = intake.cached(asked, had, ["city"])
+    assert rows(fresh, "city", "answer") == [("a", "sun")] and rows(again, "city") == [("b",)]
+    known = spark.createDataFrame([("system", "УТ")], "kind string, name string")
+    assert rows(intake.seed(spark, known, [("system", "УТ"), ("system", "ERP")], ["kind", "name"])) == [("system", "ERP")]
+    words = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "query long, word string")
+    assert rows(intake.any_word_query(words)) == [(1, "a | b")]
+    with_project = known.withColumn("project", F.lit("p"))
+    assert intake.in_project(with_project, "p").count() == 1 and intake.in_project(with_project, "q").count() == 0
+    made = zipfile.ZipFile(io.BytesIO(intake.package("ask", spark.createDataFrame([("n", "Иван a@b.cc")], "name string, text string"), ["Иван"])))
+    assert made.read("materials/n.md").decode() == "Пользователь <email@b.cc>" and sorted(made.namelist()) == ["MANIFEST.json", "PROMPT.md", "materials/n.md"]
+    with pytest.raises(ValueError):
+        intake.package("ask", spark.createDataFrame([("n", "x" * 100)], "name string, text string"), most=50)
