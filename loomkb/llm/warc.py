@@ -29,8 +29,8 @@ REVISIT_BYTES = 1000
 #: Capture time written to every record: archives of equal pages are equal.
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Rows per archive file at most; with records in tens of KB a file stays in memory easily.
-RECORDS_PER_FILE = 2000
+#: An archive file is closed at so many records or bytes; a longer record has a file of its own.
+RECORDS_PER_FILE, FILE_BYTES = 2000, 32 << 20
 #: Spark ends each row with a separator; an empty gzip member is one that every reader skips.
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 CHUNK = 1 << 16
@@ -118,7 +118,8 @@ def read_record(member: bytes) -> dict:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write one record per row of ``pages`` below ``path``.
 
-    Null html is an empty payload, null urls and ids leave their header out.
+    Null html is an empty payload, null urls and ids leave their header out. A
+    payload of any length is one record; files are bounded in records and bytes.
     Repeated rows of the id that stays are all responses. Equal digests count
     as equal payloads only with equal lengths.
     """
@@ -145,20 +146,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         def whole(x: str | None) -> int | None:
             return None if x is None else int(x)
 
+        held, size = [], 0
         for b in batches:
-            yield pd.DataFrame(
-                {
-                    "member": [
-                        frame(whole(i), u, p, whole(r), s)
-                        for i, u, p, r, s in zip(b["page_id"], b["url"], b["payload"], b["refers_to"], b["sha1"])
-                    ]
-                }
-            )
+            for i, u, p, r, s in zip(b["page_id"], b["url"], b["payload"], b["refers_to"], b["sha1"]):
+                held.append(frame(whole(i), u, p, whole(r), s))
+                size += len(held[-1])
+                if len(held) >= RECORDS_PER_FILE or size >= FILE_BYTES:
+                    yield pd.DataFrame({"archive": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"archive": [b"".join(held)]})
 
     # the text writer stores the bytes of a string as they are
-    out = records.mapInPandas(framed, "member binary").select(F.col("member").cast("string").alias("value"))
+    out = records.mapInPandas(framed, "archive binary").select(F.col("archive").cast("string").alias("value"))
     writer = out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
