@@ -82,7 +82,7 @@ def asof_last_purchase(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     views = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
     bought = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), "event_id", "value")
-    return joins.as_of_join(views, bought, ["user_id"], "ts", "bought_at", ["bought_at", "value"], "event_id").select("event_id", "bought_at", "value")
+    return joins.as_of_join(views, bought, ["user_id"], "ts", "bought_at", ["bought_at", "value"], "event_id", slices=F.to_date).select("event_id", "bought_at", "value")
 
 
 def interval_same_minute(spark, sf_dir):
@@ -111,11 +111,9 @@ def thread_merge(spark, sf_dir):
 
 
 def sender_fill(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") == "signup", F.concat(F.lit("u"), F.col("event_id").cast("string"))).alias("mail"))
-    filled = F.first("mail", ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return e.select("event_id", F.coalesce("mail", filled).alias("mail"))
+    first = e.where("mail IS NOT NULL").groupBy("user_id").agg(F.min_by("mail", "event_id").alias("filled"))
+    return e.join(first, "user_id", "left").select("event_id", F.coalesce("mail", "filled").alias("mail"))
 
 
 def exact_first_union(spark, sf_dir):

@@ -202,3 +202,20 @@ ORACLES |= {
                    WHEN doc_id % 7 = 0 THEN 'new_version' ELSE 'new' END AS relation FROM labels)
         SELECT doc_id, relation, CASE WHEN relation IN ('already_uploaded', 'same_content', 'known_letters') THEN 'skip' WHEN relation = 'new_version' THEN 'new_version' ELSE 'add' END AS action FROM r""",
 }
+
+
+def _case(rules, default: str) -> str:
+    """The first rule whose pattern a document's text matches, as SQL."""
+    low = "translate(lower(coalesce(text, '')), '_', ' ')"
+    whens = " ".join(f"WHEN regexp_matches({low}, '{pattern}') THEN '{name}'" for name, pattern in rules)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+ORACLES |= {
+    "guess_kind": f"""
+        SELECT doc_id, {_case(text.DOC_KINDS, "other")} AS kind, {_case(text.DOC_TYPES, "doc")} AS doc_type,
+               nullif(regexp_extract(text, '{text.DOC_VERSION.replace("(?iu)", "(?i)")}', 1), '') AS version FROM documents""",
+    "guess_date": r"""
+        WITH d AS (SELECT doc_id, regexp_extract(text, '(?:^|\D)(\d{2})[.\-_]?(\d{2})[.\-_]?(20\d{2})(?:\D|$)', ['d', 'm', 'y']) AS p FROM documents)
+        SELECT doc_id, CAST(try_strptime(p.y || '-' || p.m || '-' || p.d, '%Y-%m-%d') AS DATE) AS doc_date FROM d""",
+}

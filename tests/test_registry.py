@@ -1,6 +1,7 @@
 """Registries, joins, SQL guard and streams on small tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,13 @@ def test_as_of_and_interval_joins(spark):
     left = spark.createDataFrame([(1, "p", "2024-01-01 10:00:00"), (2, "p", "2024-01-01 08:00:00"), (3, "q", "2024-01-01 10:00:00")], "id int, k string, at string").withColumn("at", F.to_timestamp("at"))
     right = spark.createDataFrame([("p", "2024-01-01 09:00:00", 1, "x"), ("p", "2024-01-01 10:00:00", 2, "y"), ("p", "2024-01-01 10:00:00", 3, "z")], "k string, t string, n int, v string").withColumn("t", F.to_timestamp("t"))
     assert rows(joins.as_of_join(left, right, ["k"], "at", "t", ["v"], "n"), "id", "v") == [(1, "z"), (2, None), (3, None)]
+    rng = random.Random(9)
+    l = spark.createDataFrame([(i, rng.choice("pq"), rng.randrange(300)) for i in range(300)], "id int, k string, at int")
+    r = spark.createDataFrame([(rng.choice("pqr"), rng.randrange(300), i, str(i)) for i in range(60)], "k string, t int, n int, v string")
+    whole = joins.as_of_join(l, r, ["k"], "at", "t", ["v"], "n")
+    for width in (1, 7, 1000):
+        sliced = joins.as_of_join(l, r, ["k"], "at", "t", ["v"], "n", slices=lambda at: F.floor(at / width))
+        assert rows(sliced, "id", "v") == rows(whole, "id", "v")
     pairs = joins.interval_join(left, right, ["k"], "at", "t", 3600, F.col("r.n") < 3)
     assert rows(pairs, "l.id", "r.n") == [(1, 1), (1, 2), (2, 1)]
 
