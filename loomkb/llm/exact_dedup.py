@@ -51,11 +51,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     groups = materialize(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("keep_id")), "groups")
     repeated = groups.where("n > 1").select(F.col("h").alias("key"))
-    maybe = build_level(repeated, 0, 1, FILTER_WORDS).holds(F.unhex(F.md5("t")))
-    # equal texts are counted before they are shuffled
+    maybe = build_level(repeated, 0, 1, FILTER_WORDS)
+    # equal texts are counted before they are shuffled; a generator's result is computed once, whatever tests it
+    hash_once = F.explode(F.array(F.unhex(F.md5(normalised(F.col(text_col)))))).alias("__h")
     same_bytes = (
-        docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-        .where(maybe)
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), hash_once)
+        .where(maybe.holds(F.col("__h")))
+        .select("doc_id", normalised(F.col("__t")).alias("t"))
         .groupBy("t")
         .agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("keep_id"))
         .where("n > 1")
