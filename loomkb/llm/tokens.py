@@ -2,13 +2,10 @@
 
 The tokenizers split a text into words before they merge bytes, so a text's ids
 are those of its space-separated pieces one after another. Pieces repeat, so
-each Python worker remembers the ids of those it met twice, from task to task
-and within ``PIECE_BYTES`` and ``WORD_BYTES``, and asks the library for the
-rest only. A text is cut only at a space that a non-space follows; there, both
-kinds of tokenizer begin a new word.
-
-Texts are cut ``CHARS`` characters at a time, so a worker never holds the
-pieces of more than that (or of one longer text).
+each Python worker remembers the ids of pieces from task to task, within
+``PIECE_BYTES``, and asks the library for the rest only: the first ones it meets,
+then those it meets twice. A text is cut only at a space that a non-space
+follows; there, both kinds of tokenizer begin a new word.
 
 For pieces of plain Latin characters the words are found here, by the
 tokenizer's own pattern, and only their merges are asked of its model; all
@@ -21,16 +18,20 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 CUT = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 #: Characters that every Unicode version classes, folds and composes alike.
 PLAIN = re.compile(r"[\t\n\x21-\x7e\xa1-\xac\xae-įı-ſ]+")
 #: Memory of a Python worker for the ids of pieces and of words, and the bytes that an entry takes besides its key.
-PIECE_BYTES, WORD_BYTES, ENTRY_BYTES = 32 << 20, 16 << 20, 180
-#: Bytes of key and ids beyond which a piece is encoded each time; hashes of pieces met once; characters cut at a time.
-LONGEST, ONCE, CHARS = 128, 100_000, 2 << 20
+PIECE_BYTES, WORD_BYTES, ENTRY_BYTES = 96 << 20, 16 << 20, 180
+#: Share of it for whatever comes first; bytes of key and ids beyond which a piece is encoded each time; hashes of pieces met once.
+FIRST, LONGEST, ONCE = 0.75, 128, 100_000
+
+
+#: Letters of PLAIN in all their mixtures: what a pattern that keeps them together finds as one word.
+LETTERS = (" abc", " Abc", " ABC", " aBcDe", " \xe9\xc0\xfc\xdf", " a\xe9Z\xaa\xba\xb5", " \u0141\xf3d\u017a", "abc", "ABc", "\xc9a")
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,27 +57,29 @@ def word_rule(spec: dict) -> tuple[str, bool] | None:
     return None
 
 
-class Repeated(dict):
-    """What was met at least twice, up to ``most`` bytes; of what was met once only hashes are held."""
+class Remembered(dict):
+    """Ids by key, made by ``make`` when asked for; kept are the first ones, then those asked for twice, up to ``most`` bytes."""
 
-    def __init__(self, most: int):
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.held = make, most, 0
         self.once: set[int] = set()
         self.before: set[int] = set()
-        self.most, self.held = most, 0
-
-    def worth(self, key: str | tuple[str], value: bytes) -> bool:
-        """Whether to keep the entry: its key was met before, and there is room."""
-        h = hash(key)
-        if h in self.once or h in self.before:
-            size = len(key[0] if isinstance(key, tuple) else key) + len(value)
-            if size <= LONGEST and self.held < self.most:
-                self.held += ENTRY_BYTES + size
-                return True
-            return False
-        self.once.add(h)
-        if len(self.once) >= ONCE:
-            self.before, self.once = self.once, set()
-        return False
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        size = len(key) + len(ids)
+        if size > LONGEST or self.held >= self.most:
+            return ids
+        if self.held >= self.most * FIRST:
+            h = hash(key)
+            if h not in self.once and h not in self.before:
+                self.once.add(h)
+                if len(self.once) >= ONCE:
+                    self.before, self.once = self.once, set()
+                return ids
+        self[key] = ids
+        self.held += ENTRY_BYTES + size
+        return ids
 
 
 class Encoder:
@@ -99,67 +102,41 @@ class Encoder:
         self.words = regex.compile(rule[0]).findall if rule else None
         self.lower = bool(rule and rule[1])
         self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
-        #: Ids of pieces, and of the words in them.
-        self.known, self.known_words = Repeated(piece_bytes), Repeated(word_bytes)
-
-    def pieces(self, text: str) -> list[str | tuple[str]]:
-        """The text cut before words; every piece but the first keeps its leading space, and the first comes in a tuple."""
-        cut = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        # the first piece has no space before it; a mark inside the string could be the text's own
-        cut[0] = (cut[0],)
-        return cut
-
-    def merged(self, word: str) -> bytes:
-        known = self.known_words
-        ids = known.get(word)
-        if ids is None:
+        self.space = self.letters[32]
+        #: Whether letters are never cut from each other before merging.
+        self.whole = bool(rule) and all(len(self.words(t.lower() if self.lower else t)) == 1 for t in LETTERS)
+        #: Ids of pieces with a space before them, of those that begin a text, and of words in them.
+        self.known = Remembered(lambda p: self.ids_of_piece(p, " "), piece_bytes)
+        self.firsts = Remembered(lambda p: self.ids_of_piece(p, ""), word_bytes)
+        self.known_words = Remembered(self.ids_of_word, word_bytes)
+
+    def ids_of_word(self, word: str) -> bytes:
+        """Ids of one word: its bytes as letters, merged by the model."""
+        if word.isascii() and word.lstrip(" ").isalpha():
+            letters = word.replace(" ", self.space)
+        else:
             letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
-            if known.worth(word, ids):
-                known[word] = ids
-        return ids
+        return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+
+    def ids_of_piece(self, piece: str, space: str) -> bytes:
+        """Ids of a piece of a text, after ``space``."""
+        if not (self.words and PLAIN.fullmatch(piece)):
+            return array(self.code, self.tokenizer.encode(space + piece, add_special_tokens=False).ids).tobytes()
+        text = piece.lower() if self.lower else space + piece
+        if self.whole and piece.isalpha():  # one word, which is the piece
+            return self.ids_of_word(text)
+        known = self.known_words
+        return b"".join([known[w] for w in self.words(text)])
 
-    def learn(self, new: list[str | tuple[str]]) -> None:
-        """Put the ids of ``new`` pieces into ``known``."""
-        known, merged, slow = self.known, self.merged, []
-        for piece in new:
-            first = isinstance(piece, tuple)
-            core = piece[0] if first else piece
-            if self.words and PLAIN.fullmatch(core):
-                text = core.lower() if self.lower else core if first else " " + core
-                known[piece] = b"".join([merged(w) for w in self.words(text)])
-            else:
-                slow.append(piece)
-        for start in range(0, len(slow), 4096):
-            part = slow[start : start + 4096]
-            found = self.tokenizer.encode_batch([p[0] if isinstance(p, tuple) else " " + p for p in part], add_special_tokens=False)
-            for piece, e in zip(part, found):
-                known[piece] = array(self.code, e.ids).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, as bytes of ``dtype``; null texts are empty."""
-        part, held = [], 0
+        ids = self.known.__getitem__
         for text in texts:
-            part.append(text)
-            held += len(text or "")
-            if held >= CHARS:
-                yield from self.encoded(part)
-                part, held = [], 0
-        yield from self.encoded(part)
-
-    def encoded(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        known = self.known
-        met: set[str | tuple[str]] = set()
-        for pieces in cut:
-            met.update(pieces)
-        met.difference_update(known)
-        self.learn(list(met))
-        out = [b"".join([known[p] for p in pieces]) for pieces in cut]
-        for piece in met:
-            if not known.worth(piece, known[piece]):
-                del known[piece]
-        return out
+            if not text:
+                yield b""
+                continue
+            pieces = iter(CUT.split(text) if ODD_SPACE.search(text) else text.split(" "))
+            yield self.firsts[next(pieces)] + b"".join(map(ids, pieces))
 
 
 _encoders: dict[tuple, Encoder] = {}
