@@ -36,7 +36,7 @@ def known_letters(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """
     def described(rows: DataFrame, side: str) -> DataFrame:
         named = [F.col(c).alias(f"{side}_{c}") for c in ("letter", "sender_key", "sent_at", "message_id")]
-        return materialize(rows.select(*named, text.shingles(text.words(F.col("body")), 3).alias(f"{side}_s")), f"letters-{side}")
+        return materialize(rows.select(*named, text.bind(text.words(F.col("body")), lambda w: text.shingles(w, 3)).alias(f"{side}_s")), f"letters-{side}")
 
     new, old = described(incoming, "n"), described(stored, "o")
     by_id = new.join(old, F.col("n_message_id") == F.col("o_message_id")).select(
