@@ -129,14 +129,16 @@ def strip_disclaimers(text: Column) -> Column:
 
 
 def tidy_links(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s*<mailto:[^>]+>\s*", " "), r"\s*<(https?://[^>\s]+)>", "")
+    def tidied(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, r"\s*<mailto:[^>]+>\s*", " "), r"\s*<(https?://[^>\s]+)>", "")
+
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("<")), tidied(t)).otherwise(t))
 
 
 def mask_email(text: Column, keep_domains: tuple[str, ...] = ()) -> Column:
     """Addresses become ``<email@domain>``, the domain in lower case; kept domains stay as they are."""
     # what is masked already stays as it is
     fresh = rf"(?<![\p{{L}}\p{{N}}_.+-])(?!(?<=<)email@[\p{{L}}\p{{N}}_.-]+>)({EMAIL})"
-    parts = F.split(F.regexp_replace(text, fresh, "\u0001$1\u0003$2\u0002"), "\u0001")
 
     def shown(part: Column) -> Column:
         address, rest = F.substring_index(part, "\u0002", 1), F.substring_index(part, "\u0002", -1)
@@ -145,7 +147,11 @@ def mask_email(text: Column, keep_domains: tuple[str, ...] = ()) -> Column:
         masked = F.when(kept, F.substring_index(address, "\u0003", 1)).otherwise(F.concat(F.lit("<email@"), domain, F.lit(">")))
         return F.when(F.contains(part, F.lit("\u0002")), F.concat(masked, rest)).otherwise(part)
 
-    return F.array_join(F.transform(parts, shown), "")
+    def masked(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, fresh, "\u0001$1\u0003$2\u0002"), "\u0001")
+        return F.when(F.contains(t, F.lit("@")), F.array_join(F.transform(parts, shown), "")).otherwise(t)
+
+    return bind(text, masked)
 
 
 def mask_pii(text: Column, keep_domains: tuple[str, ...] = ()) -> Column:
