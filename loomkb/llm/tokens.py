@@ -85,7 +85,8 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts as little-endian unsigned 16- or 32-bit integers."""
 
-    def __init__(self, name: str, path: str | None = None, piece_bytes: int = PIECE_BYTES, word_bytes: int = WORD_BYTES):
+    def __init__(self, name: str, path: str | None = None, piece_bytes: int = PIECE_BYTES, word_bytes: int = WORD_BYTES, plain_specials: bool = False):
+        """``plain_specials``: the strings of special tokens in a text are ordinary text; else they become those tokens."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import numpy as np
         import public_tokenizers
@@ -94,7 +95,11 @@ class Encoder:
 
         path = path or public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        #: Strings that the tokenizer takes out of a text before all else; a text that holds one goes through it whole.
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.added = [t.content for t in added]
+        self.never_cut = any(t.normalized for t in added)  # these show after normalisation only
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
@@ -110,6 +115,9 @@ class Encoder:
         self.firsts = Remembered(lambda p: self.ids_of_piece(p, ""), word_bytes)
         self.known_words = Remembered(self.ids_of_word, word_bytes)
 
+    def ids_of_text(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids_of_word(self, word: str) -> bytes:
         """Ids of one word: its bytes as letters, merged by the model."""
         if word.isascii() and word.lstrip(" ").isalpha():
@@ -121,7 +129,7 @@ class Encoder:
     def ids_of_piece(self, piece: str, space: str) -> bytes:
         """Ids of a piece of a text, after ``space``."""
         if not (self.words and PLAIN.fullmatch(piece)):
-            return array(self.code, self.tokenizer.encode(space + piece, add_special_tokens=False).ids).tobytes()
+            return self.ids_of_text(space + piece)
         text = piece.lower() if self.lower else space + piece
         if self.whole and piece.isalpha():  # one word, which is the piece
             return self.ids_of_word(text)
@@ -135,16 +143,73 @@ class Encoder:
             if not text:
                 yield b""
                 continue
+            if self.never_cut or any(a in text for a in self.added):
+                yield self.ids_of_text(text)
+                continue
             pieces = iter(CUT.split(text) if ODD_SPACE.search(text) else text.split(" "))
             yield self.firsts[next(pieces)] + b"".join(map(ids, pieces))
 
 
-_encoders: dict[tuple, Encoder] = {}
+class PieceEncoder:
+    """Ids of texts by a sentencepiece model whose pieces hold spaces at their beginnings only.
+
+    Merges then never cross a space that follows another character, so a text is
+    cut there, and ids of the pieces are remembered as in ``Encoder``.
+    """
+
+    #: Spaces and what follows them up to the next space.
+    RUNS = re.compile(r" *[^ ]+| +")
+
+    def __init__(self, name: str, path: str | None = None, piece_bytes: int = PIECE_BYTES):
+        import public_tokenizers
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path or public_tokenizers.path(name))
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.cuts = not any("\u2581" in p.lstrip("\u2581") for p in self.pieces) and self.model.encode(" a  b", out_type=str) == ["\u2581", "\u2581a", "\u2581", "\u2581b"]
+        self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
+        self.known = Remembered(self.ids_of_run, piece_bytes)
+
+    def ids_of_run(self, run: str) -> bytes:
+        """Ids of a run that begins with a space: the model adds one by itself."""
+        ids = self.model.encode(run[1:]) if run != " " else [self.model.piece_to_id("\u2581")]
+        return array(self.code, ids).tobytes()
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        ids = self.known.__getitem__
+        for text in texts:
+            if not text:
+                yield b""
+            elif self.cuts:
+                yield b"".join(map(ids, self.RUNS.findall(" " + text)))
+            else:
+                yield array(self.code, self.model.encode(text)).tobytes()
+
+
+def byte_tokens(encoder: Encoder) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    codes = {letter: b for b, letter in byte_letters().items()}
+    tokens = map(encoder.tokenizer.id_to_token, range(encoder.tokenizer.get_vocab_size()))
+    return [bytes(codes[c] for c in t) if t is not None and all(c in codes for c in t) else (t or "").encode() for t in tokens]
+
+
+def piece_tokens(encoder: PieceEncoder) -> list[bytes]:
+    """The bytes of each id of a sentencepiece vocabulary, with spaces for U+2581."""
+    byte = encoder.model.is_byte
+    return [bytes([int(p[1:-1], 16)]) if byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(encoder.pieces)]
+
+
+_encoders: dict[tuple, Encoder | PieceEncoder] = {}
+
+
+def kept(*encoders: tuple) -> list:
+    """The worker's encoders, made by (class, arguments of it): later tasks find what earlier ones remember."""
+    if not all(e in _encoders for e in encoders):
+        _encoders.clear()  # memory for one job's at a time
+        _encoders.update({e: e[0](*e[1:]) for e in encoders})
+    return [_encoders[e] for e in encoders]
 
 
 def encoder(name: str, path: str | None = None) -> Encoder:
-    """The worker's encoder for a tokenizer file: later tasks find what earlier ones remember."""
-    if (name, path) not in _encoders:
-        _encoders.clear()  # memory for one at a time
-        _encoders[name, path] = Encoder(name, path)
-    return _encoders[name, path]
+    """The worker's encoder for a tokenizer file; special tokens' strings in texts become those tokens."""
+    return kept((Encoder, name, path))[0]

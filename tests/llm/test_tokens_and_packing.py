@@ -20,7 +20,9 @@ ODD = [
     "tab\tand\nline\r\n end",
     "x" * 3000,
     "a b" * 4000,
-    "<|endoftext|> is text",
+    "<|endoftext|> is a token",
+    "x  <|startoftext|>  y<|endoftext|>",
+    "<|EndOfText|> is none",
     "It's we'll don't CAN'T",
     "Größe été 東京 　wide space é",
     "12345 67 8.9",
@@ -33,9 +35,7 @@ ODD = [
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
