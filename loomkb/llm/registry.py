@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomkb.llm import embedding_dedup, exact_dedup, html_extract, mixing, ngram_join, packing, token_shards, toxicity, url_filter, warc
+from loomkb.llm import embedding_dedup, exact_dedup, fill_middle, html_extract, line_dedup, mixing, ngram_join, packing, token_alignment, token_shards, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_pack_sequences": packing.op9_pack_sequences,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_fill_middle": fill_middle.op13_fill_middle,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict:
         "op6_ngram_jaccard": ngram_join.OP6_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op11_line_dedup": line_dedup.OP11_SQL,
+        "op13_fill_middle": fill_middle.OP13_SQL,
     }
