@@ -247,18 +247,27 @@ def test_assistant_registers(spark):
         ("не еду", [("cancel_trip", None, None, None, None)]),
         ("где я был", [("history", None, None, None, None)]),
         ("помощь", [("help", None, None, None, None)]),
+        ("мы вернулись в понедельник в Нижний Новгород на поезде", [("place", None, None, "Нижний Новгород", "arrive")]),
+        ("в Лондоне", [("place", None, None, "Лондоне", "arrive")]),
+        ("еду в пятницу, 5 часов", []),
+        ("в 10:00 еду во Владивосток", [("place", None, None, "Владивосток", "depart")]),
+        ("хватит работать", [("stop", None, None, None, None)]),
+        ("отдыхаем, потом работаем 20 минут", [("rest", 20, None, None, None)]),
+        ("выключи звёзды", [("sky_set", None, None, None, None)]),
         ("", []),
         ("абракадабра", []),
     ],
 )
-def test_commands(said, want):
-    got = commands.commands(said, dt.date(2024, 10, 16))
+def test_commands(spark, said, want):
+    got = one(spark, commands.parsed_commands(C("t"), F.lit(dt.date(2024, 10, 16))), t=said)
     assert [(c["action"], c["minutes"], c["until"], c["place"], c["direction"]) for c in got] == want
 
 
 def test_commands_as_a_column(spark):
     got = one(spark, commands.parsed_commands(C("t"), F.lit(dt.date(2024, 10, 16))), t="завтра еду в Лондон, работаем час")
     assert [c["action"] for c in got] == ["place", "work"] and got[0]["day"] == dt.date(2024, 10, 17)
+    sky = one(spark, commands.parsed_commands(C("t"), F.lit(dt.date(2024, 10, 16))), t="включи планеты")
+    assert [(c["action"], c["target"], c["on"]) for c in sky] == [("sky_set", "planets", True)]
 
 
 def test_lines(spark):

@@ -160,8 +160,13 @@ def test_durations(said, minutes):
 def test_days(spark):
     today = dt.date(2024, 10, 16)
     for said, want in (("завтра", 17), ("послезавтра", 18), ("в пятницу", 18), ("через три дня", 19), ("20.10", 20)):
-        assert assistant.parse_day(said, today) == dt.date(2024, 10, want)
-    assert assistant.parse_day("5 января", today) == dt.date(2025, 1, 5) and assistant.parse_day("31.02", today) is None
+        assert one(spark, assistant.named_day(C("x"), F.lit(today)), x=said) == dt.date(2024, 10, want)
+    day = lambda said, today=today: one(spark, assistant.named_day(C("x"), F.lit(today)), x=said)
+    assert day("5 января") == dt.date(2025, 1, 5) and day("31.02") is None and day("31.02 в пятницу") is None
+    assert day("15 октября") == dt.date(2024, 10, 15) and day("14 октября") == dt.date(2025, 10, 14) and day("14 октября 2023") == dt.date(2023, 10, 14)
+    assert day("1.2.30") == dt.date(2030, 2, 1) and day("в среду") == dt.date(2024, 10, 23) and day("через 0 дней") is None and day("ничего") is None
+    assert day("29 февраля", dt.date(2024, 3, 5)) is None and day("завтра, 20.10") == dt.date(2024, 10, 17) and day("12.13") is None
+    assert one(spark, assistant.named_day(C("x"), F.lit(today)), x=None) is None
     assert one(spark, assistant.duration_minutes(C("x")), x="два часа") == 120
     assert one(spark, assistant.named_day(C("x"), F.lit(today)), x="сегодня") == today
     book = one(spark, assistant.author_title(C("x")), x="Л.Н.Толстой «Война и мир», 1300 страниц")
