@@ -150,42 +150,6 @@ class Encoder:
             yield self.firsts[next(pieces)] + b"".join(map(ids, pieces))
 
 
-class PieceEncoder:
-    """Ids of texts by a sentencepiece model whose pieces hold spaces at their beginnings only.
-
-    Merges then never cross a space that follows another character, so a text is
-    cut there, and ids of the pieces are remembered as in ``Encoder``.
-    """
-
-    #: Spaces and what follows them up to the next space.
-    RUNS = re.compile(r" *[^ ]+| +")
-
-    def __init__(self, name: str, path: str | None = None, piece_bytes: int = PIECE_BYTES):
-        import public_tokenizers
-        from sentencepiece import SentencePieceProcessor
-
-        self.model = SentencePieceProcessor(model_file=path or public_tokenizers.path(name))
-        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.cuts = not any("\u2581" in p.lstrip("\u2581") for p in self.pieces) and self.model.encode(" a  b", out_type=str) == ["\u2581", "\u2581a", "\u2581", "\u2581b"]
-        self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
-        self.known = Remembered(self.ids_of_run, piece_bytes)
-
-    def ids_of_run(self, run: str) -> bytes:
-        """Ids of a run that begins with a space: the model adds one by itself."""
-        ids = self.model.encode(run[1:]) if run != " " else [self.model.piece_to_id("\u2581")]
-        return array(self.code, ids).tobytes()
-
-    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        ids = self.known.__getitem__
-        for text in texts:
-            if not text:
-                yield b""
-            elif self.cuts:
-                yield b"".join(map(ids, self.RUNS.findall(" " + text)))
-            else:
-                yield array(self.code, self.model.encode(text)).tobytes()
-
-
 def byte_tokens(encoder: Encoder) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
     codes = {letter: b for b, letter in byte_letters().items()}
@@ -193,23 +157,13 @@ def byte_tokens(encoder: Encoder) -> list[bytes]:
     return [bytes(codes[c] for c in t) if t is not None and all(c in codes for c in t) else (t or "").encode() for t in tokens]
 
 
-def piece_tokens(encoder: PieceEncoder) -> list[bytes]:
-    """The bytes of each id of a sentencepiece vocabulary, with spaces for U+2581."""
-    byte = encoder.model.is_byte
-    return [bytes([int(p[1:-1], 16)]) if byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(encoder.pieces)]
-
-
-_encoders: dict[tuple, Encoder | PieceEncoder] = {}
-
-
-def kept(*encoders: tuple) -> list:
-    """The worker's encoders, made by (class, arguments of it): later tasks find what earlier ones remember."""
-    if not all(e in _encoders for e in encoders):
-        _encoders.clear()  # memory for one job's at a time
-        _encoders.update({e: e[0](*e[1:]) for e in encoders})
-    return [_encoders[e] for e in encoders]
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(name: str, path: str | None = None) -> Encoder:
-    """The worker's encoder for a tokenizer file; special tokens' strings in texts become those tokens."""
-    return kept((Encoder, name, path))[0]
+def encoder(name: str, path: str | None = None, *memory_and_specials: object) -> Encoder:
+    """The worker's encoder for a tokenizer file: later tasks find what earlier ones remember."""
+    key = (name, path, *memory_and_specials)
+    if key not in _encoders:
+        _encoders.clear()  # memory for one at a time
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
