@@ -41,10 +41,9 @@ def create(issues: DataFrame, incoming: DataFrame, now: Column, actor: str | Non
     fresh = titled.join(issues.select("message_id"), "message_id", "left_anti")
     keyed = fresh.withColumn("__k", F.coalesce(F.concat(F.lit("m"), "message_id"), F.concat(F.lit("d"), F.col("draft").cast("string"))))
     one = registry.first_of(keyed, ["__k"], [F.col("draft")]).drop("__k")
-    top = issues.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    # drafts that are registered together are few
-    rows = one.withColumn("__n", F.row_number().over(Window.orderBy("draft"))).join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__n"))
-    rows = rows.withColumn("status", F.coalesce("status", F.lit("new"))).withColumn("resolved_at", F.when(F.col("status").isin(*RESOLVED), now)).drop("__n", "__top")
+    top = issues.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = registry.consecutive(one, ["draft"], "id", top)
+    rows = rows.withColumn("status", F.coalesce("status", F.lit("new"))).withColumn("resolved_at", F.when(F.col("status").isin(*RESOLVED), now))
     made = F.to_json(F.struct("title", "status"))
     events = rows.select(*_event(F.col("id"), now, F.lit(actor).cast("string"), "created", made, F.lit(None).cast("string")))
     return rows, events, seen

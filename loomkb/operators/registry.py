@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomkb.storage import materialize
+
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
@@ -131,6 +133,26 @@ def numbered(rows: DataFrame, person: str, order: Sequence[str], taken: DataFram
     return rows.join(top, person, "left").withColumn("num", n + F.coalesce("__top", F.lit(0))).drop("__top")
 
 
+def consecutive(rows: DataFrame, order: Sequence[str], name: str, start: Column | int = 0) -> DataFrame:
+    """``rows`` with consecutive numbers after ``start`` in ``order``, without a window over all rows.
+
+    Ranges of the order are numbered each by itself, after the counts of the
+    ranges before. Ties are numbered in the order of the other columns, as far
+    as these have an order.
+    """
+    ordered = {f.name for f in rows.schema if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind}
+    by = [*order, *[c for c in rows.columns if c in ordered and c not in order]]
+    parts = rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    parts = materialize(parts, "ranges")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    # one row for each range
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    first = start if isinstance(start, Column) else F.lit(start)
+    numbered = parts.withColumn("__i", inside).join(counts, "__part")
+    return numbered.withColumn(name, (first + F.col("__before") + F.col("__i")).cast("long")).drop("__part", "__i", "__before")
+
+
 def unite(a: Column, b: Column) -> Column:
     """Sorted union of two arrays, each element once; nulls count as empty."""
     empty = F.array()
