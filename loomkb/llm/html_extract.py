@@ -1,14 +1,20 @@
 """Main text of web pages by composite text density.
 
 Every node of the page's tree gets a density: its characters per tag, adjusted
-for links. Characters inside links and inside elements whose name or class hints
-at page furniture count as links, so furniture has no density. A node's sum adds
-up the densities of its children. The subtree with the largest sum holds the
-article, and the threshold, the least density on the path from the body to it,
-decides what else belongs to it and what inside it does not.
+for links (characters of controls count as links). A node's sum adds up the
+densities of its children. The subtree with the largest sum holds the article;
+the least density on the path from the body to it is the threshold.
 
-Names and classes are evidence, not verdicts: a hinted element that holds the
-page's first article, or nearly all of its text, is taken at its density.
+Densities decide what else belongs to the article: beside the path to it, what
+is above the threshold and at least half as dense as the article; inside it,
+lists of links below the threshold and, where they are less than a third as
+dense as its parts are on average, repeated containers such as comments go.
+
+Names and classes only break ties: the page's first article or main element is
+taken where its sum is at least half of the largest, or where the subtree with
+the largest holds it and little else that no hint covers; a hinted neighbour must be
+as dense as the article, and a hinted part of it stays where it holds a sentence
+and is a third as dense.
 
 The parser is a tolerant tokenizer that builds the tree in one pass, with the
 implied end tags of HTML: a paragraph ends where a block begins. It keeps the
@@ -40,10 +46,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is no running text.
-NO_TEXT = frozenset(
-    "script style noscript template textarea title iframe head button select option input label svg canvas object embed audio video xmp noembed noframes".split()
-)
+#: Elements whose content is no running text, and those whose text is some only inside of a sentence.
+NO_TEXT = frozenset("script style noscript template textarea title iframe head select option input svg canvas object embed audio video xmp noembed noframes".split())
+CONTROLS = frozenset("button label".split())
 #: Elements and words in class, id or role that hint at page furniture.
 HINT_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 HINT_WORDS = frozenset(
@@ -53,8 +58,12 @@ HINT_WORDS = frozenset(
     "related recommended recommendations widget widgets pagination pager search form skip complementary contentinfo search-form copyright "
     "legal disclaimer".split()
 )
-#: A hint in class, id or role is overruled where at least so many characters stand in the element, and so many times more than elsewhere.
-LEAST_ARTICLE, NEARLY_ALL = 200, 20
+#: Share of the largest sum with which the first article element is taken; shares of the article's density for neighbours, hinted ones, and parts.
+TIE, BESIDE, HINTED_BESIDE, INSIDE = 0.5, 0.5, 1.0, 1 / 3
+#: Characters of a sentence; links that make a list.
+SENTENCE, LIST = 40, 3
+#: Single pieces of running text: beside the article, the threshold is enough for them.
+PIECES = frozenset("p h2 h3 h4 h5 h6 blockquote pre".split())
 ENDS_PARAGRAPH = BLOCK - {"html", "body"}
 #: An open element of the key ends where one of these begins, up to a list or table around it.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,21 +71,30 @@ SCOPES = frozenset("ul ol dl table html body article section div td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "hint", "gone", "first", "children", "chars", "tags", "link_chars", "link_tags", "noise", "noise_chars", "anchors", "density", "total")
+    __slots__ = ("tag", "hint", "gone", "children", "chars", "tags", "link_chars", "link_tags", "noise", "anchors", "density", "total")
 
-    def __init__(self, tag: str, hint: str = "", gone: bool = False):
-        #: What hints at furniture ("tag", "word" or nothing), whether it is never text, and whether it holds the first article.
-        self.tag, self.hint, self.gone, self.first = tag, hint, gone, False
+    def __init__(self, tag: str, hint: bool = False, gone: bool = False):
+        #: Whether its name or class hints at furniture, whether it is never text, and whether its characters count as links.
+        self.tag, self.hint, self.gone, self.noise = tag, hint, gone, tag in CONTROLS
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.noise, self.noise_chars, self.anchors = False, 0, 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.anchors = 0
         self.density = self.total = 0.0
 
     @property
     def list_of_links(self) -> bool:
-        """Several links make up half of what is no noise in it."""
-        anchor_chars = self.link_chars - self.noise_chars
-        return self.anchors > 1 and 2 * anchor_chars >= self.chars - self.noise_chars
+        """Links make up most of its text."""
+        return self.anchors >= LIST and 5 * self.link_chars >= 4 * self.chars
+
+    @property
+    def typical(self) -> float:
+        """The mean density of what it is made of."""
+        return self.total / max(1, sum(c.chars > 0 for c in self.nodes()))
+
+    @property
+    def repeated(self) -> bool:
+        """Made of containers of one kind, each with blocks of its own."""
+        inner = [c for c in self.nodes() if any(g.tag in BLOCK for g in c.nodes())]
+        return len(inner) > 1 and 2 * sum(c.chars for c in inner) >= self.chars and len({c.tag for c in inner}) == 1 and inner[0].tag in BLOCK
 
     def nodes(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node) and not c.gone]
@@ -96,18 +114,18 @@ def attributes_of(page: str, at: int) -> tuple[dict[str, str], int]:
         at = m.end()
 
 
-def hint_of(tag: str, attributes: dict[str, str]) -> str:
+def hint_of(tag: str, attributes: dict[str, str]) -> bool:
     if tag in HINT_TAGS:
-        return "tag"
+        return True
     if tag in ("html", "body", "main"):
-        return ""
+        return False
     for name in ("class", "id", "role"):
         for word in attributes.get(name, "").lower().split():
             if word.startswith(("no-", "has-", "with-")):
                 continue
             if word in HINT_WORDS or not HINT_WORDS.isdisjoint(re.split(r"[-_]+", word)):
-                return "word"
-    return ""
+                return True
+    return False
 
 
 def hidden(attributes: dict[str, str]) -> bool:
@@ -166,7 +184,7 @@ class Open:
 def parse(page: str) -> Node:
     """The page's tree; strings are decoded text."""
     root = Node("html")
-    opened, at, seen = Open(root), 0, False
+    opened, at = Open(root), 0
 
     def text(part: str) -> None:
         if part:
@@ -203,12 +221,8 @@ def parse(page: str) -> Node:
             continue
         opened.begin(tag)
         node = Node(tag, hint_of(tag, attributes), tag in NO_TEXT or hidden(attributes))
-        if tag in ("article", "main") and not (seen or node.hint or node.gone):
-            seen = True
-            for n in (*opened.stack, node):
-                n.first = True
         opened.stack[-1].children.append(node)
-        if tag in VOID or page.startswith("/>", at - 2) and tag not in BLOCK:
+        if tag in VOID:  # a slash at the end of other tags means nothing
             continue
         if tag in RAW:  # up to its end tag, nothing in it is markup
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -224,34 +238,10 @@ def top_down(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(node.nodes())
+        todo.extend(reversed(node.nodes()))
     return order
 
 
-def believe_hints(order: list[Node]) -> None:
-    """Set ``noise``: inside a hinted element, unless it holds the first article or nearly all text that no hint covers."""
-    plain: dict[int, int] = {}  # characters outside links
-    outside = 0
-    covered = {id(order[0]): False}
-    in_link = {id(order[0]): False}
-    for node in order:
-        own = 0 if in_link[id(node)] else sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        plain[id(node)] = own
-        outside += 0 if covered[id(node)] else own
-        for c in node.nodes():
-            covered[id(c)] = covered[id(node)] or bool(c.hint)
-            in_link[id(c)] = in_link[id(node)] or c.tag == "a"
-    for node in reversed(order):
-        plain[id(node)] += sum(plain[id(c)] for c in node.nodes())
-    for node in order:
-        most = node.hint == "word" and plain[id(node)] >= max(LEAST_ARTICLE, NEARLY_ALL * outside)
-        node.noise = node.noise or bool(node.hint) and not (node.first or most)
-        for c in node.nodes():
-            c.noise = node.noise
-            if most and c.hint == "word" and c.children and plain[id(c)] == plain[id(node)]:
-                c.hint = ""  # a wrapper inside the wrapper
-
-
 def composite(c: int, t: int, lc: int, lt: int, body_chars: int, body_links: int) -> float:
     """Composite text density of a node with ``c`` characters and ``t`` tags, ``lc`` and ``lt`` of them in links."""
     if not c:
@@ -264,18 +254,15 @@ def composite(c: int, t: int, lc: int, lt: int, body_chars: int, body_links: int
 def densities(root: Node) -> list[Node]:
     """Fill in counts, densities and sums of all nodes; returns them, parents first."""
     order = top_down(root)
-    believe_hints(order)
     for node in reversed(order):
         node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        node.link_chars = node.noise_chars = node.chars if node.noise else 0
         for c in node.nodes():
-            node.noise_chars += c.noise_chars
-            node.anchors += 0 if c.noise else c.anchors + (c.tag == "a")
+            node.anchors += c.anchors + (c.tag == "a")
             node.chars += c.chars
             node.tags += c.tags + 1
             node.link_chars += c.link_chars
             node.link_tags += c.link_tags + (c.tag == "a" or c.noise)
-        if node.tag == "a":
+        if node.tag == "a" or node.noise:
             node.link_chars = node.chars
     for node in order:
         node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, root.chars, root.link_chars)
@@ -284,65 +271,108 @@ def densities(root: Node) -> list[Node]:
     return order
 
 
+def narrows(best: Node, named: Node) -> bool:
+    """Whether ``best`` holds ``named`` and, outside of it and of what is hinted, no more plain text."""
+    outside, held, todo = 0, False, [best]
+    while todo:
+        node = todo.pop()
+        if node is named:
+            held = True
+        elif not node.hint and node.tag != "a" and not node.noise:
+            outside += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            todo.extend(node.nodes())
+    return held and outside <= named.chars - named.link_chars
+
+
 def main_node(order: list[Node]) -> tuple[Node, list[Node], float]:
     """The subtree with the largest density sum, its ancestors, and the least density on the path to the root.
 
-    A subtree that holds most of the plain text of the container around it
-    stands for that container.
+    Of equal sums the first in page order counts. The first article or main
+    element stands for the subtree where it holds it, or comes near its sum.
     """
     parents = {id(c): node for node in order for c in node.nodes()}
+
+    def path_of(node: Node) -> list[Node]:
+        path = [node]
+        while id(path[-1]) in parents:
+            path.append(parents[id(path[-1])])
+        return path
+
     best = max(order, key=lambda n: n.total if n.chars > n.link_chars else 0.0)
-    path = [best]
-    while id(path[-1]) in parents:
-        path.append(parents[id(path[-1])])
+    path = path_of(best)
     threshold = min((n.density for n in path if n.chars), default=0.0)
-    at = 0
-    while at + 1 < len(path) and path[at + 1].tag not in ("body", "html"):
-        around = path[at + 1]
-        if 2 * (path[at].chars - path[at].link_chars) < around.chars - around.link_chars:
-            break
-        at += 1
-    return path[at], path[at + 1 :], threshold
+    named = next((n for n in order if n.tag in ("article", "main") and not n.hint and n.chars > n.link_chars), None)
+    if named is not None and (any(n is named for n in path) or named.total >= TIE * best.total or narrows(best, named)):
+        path = path_of(named)
+        threshold = min(n.density for n in path if n.chars)
+    return path[0], path[1:], threshold
+
+
+def belongs(node: Node, article: Node, parent: Node, above: list[Node], threshold: float) -> bool:
+    """Whether a node beside the path to the article is part of it; a named article is whole."""
+    if node.tag == "h1":
+        return not node.hint and node.chars > node.link_chars
+    if article.tag in ("article", "main") or node.density < threshold:
+        return False
+    if node.tag in PIECES and not node.hint and parent is above[0]:
+        return True
+    return node.density >= (HINTED_BESIDE if node.hint else BESIDE) * article.density
+
+
+def furniture(node: Node, article: Node, threshold: float) -> bool:
+    """Whether a node inside the article is none of it."""
+    thin = node.density < INSIDE * article.typical
+    if node.hint and not (node.tag == "header" and article.tag in ("article", "main")):
+        return thin or node.chars - node.link_chars < SENTENCE
+    if node.density < threshold and node.list_of_links:
+        return True
+    return thin and node.tag in BLOCK and 2 * node.chars < article.chars and node.repeated and node.tag not in ("ul", "ol", "dl", "table", "tbody")
 
 
 def blocks_of(root: Node, article: Node, above: list[Node], threshold: float) -> list[str]:
-    """Blocks in page order: the article, and around it what is as dense; lists of links below the threshold go."""
+    """Blocks in page order: the article without its furniture, and what belongs to it beside it."""
     out: list[str] = []
-    current: list[str] = []
+    current: list[tuple[str, bool]] = []
     path = {id(n) for n in above}
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(current)).strip()
+        # the text of controls counts inside of a sentence only
+        spoken = any(not control and part.strip() for part, control in current)
+        text = SPACE.sub(" ", "".join(part for part, control in current if spoken or not control)).strip()
         current.clear()
         if text:
             out.append(text)
 
-    # (node or text, whether it is inside what is kept, whether it ends here)
-    todo: list[tuple[Node | str, bool, bool]] = [(root, False, False)]
+    # (node or text, the node around it, whether it is inside what is kept, whether it is in a control, whether it ends here)
+    todo: list[tuple[Node | str, Node, bool, bool, bool]] = [(root, root, False, False, False)]
     while todo:
-        item, inside, ends = todo.pop()
+        item, parent, inside, control, ends = todo.pop()
         if isinstance(item, str):
             if inside:
-                current.append(item)
+                current.append((item, control))
             continue
         if ends:
             flush()
             continue
         if item.tag == "br":
-            current.append("\n")
-        thin = item.density < threshold and item.list_of_links
-        if item.gone or item.noise or thin and id(item) not in path and item is not article:
-            if item.tag in BLOCK:
-                flush()
-            continue
+            current.append(("\n", control))
         if item.tag in BLOCK:
             flush()
-            todo.append((item, inside, True))
-        if not inside and id(item) not in path:
-            inside = item is article or item.tag == "h1" or item.density >= threshold
-            if not inside:
+        if item.gone:
+            continue
+        if item is article:
+            inside = True
+        elif inside:
+            if furniture(item, article, threshold):
                 continue
-        todo.extend((c, inside, False) for c in reversed(item.children))
+        elif id(item) not in path:
+            beside = id(parent) in path
+            inside = (beside or item.tag == "h1" and not parent.hint) and belongs(item, article, parent, above, threshold)
+            if not inside and not (beside and not item.hint):
+                continue
+        if item.tag in BLOCK:
+            todo.append((item, parent, inside, control, True))
+        todo.extend((c, item, inside, control or item.tag in CONTROLS, False) for c in reversed(item.children))
     flush()
     return out
 
@@ -354,7 +384,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     order = densities(root)
     if root.chars <= root.link_chars:
-        return ""
+        return ""  # links only
     return "\n\n".join(blocks_of(root, *main_node(order)))
 
 
