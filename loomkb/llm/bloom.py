@@ -13,21 +13,31 @@ from loomkb.storage import materialize
 
 #: Bits that a probe tests in its word. With a word for each key and probe, about 2 ^ -PASSING of other keys pass a probe.
 BITS, PASSING = 6, 13
+#: Words that one task gathers: 8 MB.
+SHARD_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Level:
-    words: DataFrame  # one row: the array of words
+    words: DataFrame  # (shard, words): arrays of at most SHARD_WORDS words
     size: int
     probes: int
     seed: int
 
-    def holds(self, key: Column) -> Column:
-        """All tested bits of ``key`` are set in this level."""
-        words = self.words.scalar()
+    def bits(self) -> Column:
+        """The arrays of words, as one value: bind it to a name before it is tested inside of a lambda."""
+        shards = range(-(-self.size // SHARD_WORDS))
+        return F.array(*[self.words.where(F.col("shard") == i).select("words").scalar() for i in shards])
+
+    def holds(self, key: Column, bits: Column | None = None) -> Column:
+        """All tested bits of ``key`` are set in this level, whose ``bits`` may be bound."""
+        one = self.words.select("words").scalar() if bits is None and self.size <= SHARD_WORDS else None
+        bits = self.bits() if bits is None and one is None else bits
         tests = []
         for at, mask in probes_of(key, self.size, self.probes, self.seed):
-            tests.append(F.element_at(words, at + 1).bitwiseAND(mask) == mask)
+            words = F.element_at(bits, F.shiftright(at, SHARD_WORDS.bit_length() - 1) + 1) if one is None else one
+            place = at.bitwiseAND(F.lit(SHARD_WORDS - 1)) if one is None else at
+            tests.append(F.element_at(words, place + 1).bitwiseAND(mask) == mask)
         return reduce(Column.__and__, tests)
 
 
@@ -55,7 +65,8 @@ def build_level(keys: DataFrame, others: int, seed: int, most: int | None = None
     hit = keys.select(F.inline(F.array(*pairs))).groupBy("at").agg(F.bit_or("mask").alias("bits"))
     every = keys.sparkSession.range(size).select(F.col("id").cast("int").alias("at")).join(hit, "at", "left")
     entry = F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    words = every.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["bits"]).alias("words"))
+    shard = F.shiftright("at", SHARD_WORDS.bit_length() - 1).alias("shard")
+    words = every.groupBy(shard).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["bits"]).alias("words"))
     return Level(materialize(words, "level"), size, probes, seed)
 
 

@@ -133,6 +133,27 @@ def test_url_rules(spark, monkeypatch, passing):
     assert sorted(got) == [(i, *brute_verdict(u, list(actions.values()))) for i, u in enumerate(urls)]
 
 
+def test_many_shapes_of_rules_in_one_plan(spark, monkeypatch):
+    """A table of 20,000 rules of 200 shapes, judged and then filtered, in shards of few words."""
+    monkeypatch.setattr(bloom, "SHARD_WORDS", 1 << 12)
+    rng = random.Random(6)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.y.z.net"]
+    rules = {}
+    for i in range(20_000):
+        r = url_filter.Rule("block" if i % 3 else "allow", rng.choice(hosts), "/" + f"{i % 500:03d}" * (i % 40) + "x" * (i % 5))
+        rules.setdefault(r.host + r.path, r)
+    table = spark.createDataFrame([(r.action, r.host, r.path, "extra") for r in rules.values()] + [(None, "com", "/", ""), ("block", None, "/", ""), ("zzz", "com", next(r for r in rules.values() if r.host == "com").path, "")], "action string, host string, path string, more string")
+    urls = [f"http://{rng.choice(['', 'w.'])}{rng.choice(hosts)}/{f'{rng.randrange(500):03d}' * rng.randrange(42)}{'x' * rng.randrange(6)}" for _ in range(300)]
+    urls += [None, "", "http://" + "a." * 3000 + "com/000", "http://com/" + "000" * 100_000] + urls[:5]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    judged = url_filter.judge_urls(pages, table)
+    want = [(i, *brute_verdict(u, list(rules.values()))) for i, u in enumerate(urls)]
+    assert sorted(rows_of(judged, "page_id", "host", "path", "rule", "verdict")) == want
+    start = time.time()
+    assert judged.where("rule IS NOT NULL").count() == sum(w[3] is not None for w in want)
+    assert time.time() - start < 60
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("concat('k', id) AS key")
     listed = universe.where("crc32(key) % 7 = 0")
