@@ -96,6 +96,17 @@ def near_dup_containment(spark, sf_dir):
     return pairs.select("a", "b", F.round("score", 9).alias("score"))
 
 
+def near_dup_classes(spark, sf_dir):
+    """Pairs between representatives only; with ``near_dup_members`` they say the same as all pairs."""
+    pairs, _ = joins.containment_classes(table(spark, sf_dir, "documents"))
+    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.round("score", 9).alias("score"))
+
+
+def near_dup_members(spark, sf_dir):
+    _, members = joins.containment_classes(table(spark, sf_dir, "documents"))
+    return members.select("id", "rep", "worded")
+
+
 def doc_fingerprint_groups(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.content_fingerprint(F.col("text")).alias("fingerprint"))
     return d.groupBy("fingerprint").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -257,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         version_scd2, restore_previous, cascade_delete, add_idempotent, registry_upsert, optimistic_update, field_diff, version_conflicts,
-        latest_event_status, contours_union, thread_view_budget, asof_last_purchase, interval_same_minute, near_dup_containment,
+        latest_event_status, contours_union, thread_view_budget, asof_last_purchase, interval_same_minute, near_dup_containment, near_dup_classes, near_dup_members,
         doc_fingerprint_groups, thread_merge, sender_fill, exact_first_union, vec_topk, lex_topk, search_filtered, hybrid_filtered, cosine_by_label,
         event_props_json, event_tumbling, event_sliding, event_session, session_replace, due_sessions, late_drop, dedup_events, claim_batch,
         cursor_read, ttl_expire, totals_today, reading_stats, local_time, eval_recall, approx_distinct,
@@ -319,6 +330,16 @@ ORACLES = {
         i AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM s)
         SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / min(least(a.n, b.n)), 9) AS score FROM i a JOIN i b ON a.item = b.item AND a.doc_id < b.doc_id
         GROUP BY a.doc_id, b.doc_id HAVING count(*) / min(least(a.n, b.n)) >= 0.75""",
+    "near_dup_members": r"""
+        WITH w AS (SELECT doc_id AS id, coalesce(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[\p{L}\p{N}_]+'), []) AS w FROM documents)
+        SELECT id, min(id) OVER (PARTITION BY w) AS rep, len(w) > 0 AS worded FROM w""",
+    "near_dup_classes": r"""
+        WITH r AS (SELECT regexp_extract_all(translate(lower(text), 'ё', 'е'), '[\p{L}\p{N}_]+') AS w, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM r),
+        i AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM s)
+        SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / min(least(a.n, b.n)), 9) AS score FROM i a JOIN i b ON a.item = b.item AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id HAVING count(*) / min(least(a.n, b.n)) >= 0.75""",
     "doc_fingerprint_groups": r"""
         SELECT sha1(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g')) AS fingerprint, min(doc_id) AS canonical, count(*) AS n
         FROM documents GROUP BY 1 HAVING count(*) > 1""",

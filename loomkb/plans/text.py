@@ -75,6 +75,13 @@ def title_overlap(spark, sf_dir):
     return joins.title_pairs(p, "p_partkey", "s", "p_brand")
 
 
+def title_overlap_classes(spark, sf_dir):
+    """Pairs between titles of different stems or brands; titles of equal stems and brand are one class."""
+    p = table(spark, sf_dir, "part").select("p_partkey", text.title_stems(F.col("p_name")).alias("s"), "p_brand")
+    pairs, _ = joins.title_classes(p, "p_partkey", "s", "p_brand")
+    return pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "score")
+
+
 Q = {
     "clean_whitespace": _documents(("clean", text.normalize_whitespace)),
     "mask_email": _documents(("masked", text.mask_email)),
@@ -97,6 +104,7 @@ Q = {
     "chunk_identity": chunk_identity,
     "attrs_map": attrs_map,
     "title_overlap": title_overlap,
+    "title_overlap_classes": title_overlap_classes,
 }
 QUERIES = Q
 
@@ -135,6 +143,13 @@ ORACLES = {
     "intent_classify": """
         SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'issue' ELSE 'question' END AS primary,
                CAST(CASE turn % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS DOUBLE) AS score, turn % 3 < 2 AS is_issue, turn % 3 = 1 AS confident FROM conversations""",
+    "title_overlap_classes": f"""
+        WITH p AS (SELECT p_partkey, p_brand, list_sort({_STEMS}) AS s FROM part),
+        s AS (SELECT min(p_partkey) AS p_partkey, p_brand, s FROM p WHERE len(s) > 0 GROUP BY p_brand, s),
+        c AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
+                     round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) * CASE WHEN a.p_brand <> b.p_brand THEN 0.8 ELSE 1.0 END, 9) AS score
+              FROM s a JOIN s b ON a.p_partkey < b.p_partkey)
+        SELECT a, b, score FROM c WHERE score >= 0.75""",
     "title_overlap": f"""
         WITH s AS (SELECT p_partkey, p_brand, {_STEMS} AS s FROM part),
         c AS (SELECT a.p_partkey AS a, b.p_partkey AS b,
