@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomkb.operators import acceptance
+from loomkb.functions import text
+from loomkb.operators import acceptance, incremental
 from loomkb.operators.ledger import Ledger
+from loomkb.plans import registries
 from loomkb.session import table
 from loomkb.storage import scratch_path
 
@@ -38,11 +40,23 @@ def intake_receipts(spark, sf_dir):
     return at.table("receipts").select("batch", "filename", "material_id", "already", "error")
 
 
-QUERIES = {"intake_accept": intake_accept, "intake_receipts": intake_receipts}
+def thread_ingest(spark, sf_dir):
+    """Threads of all conversations whose letters arrive in three batches, by turn; the last one comes twice."""
+    worded = F.regexp_like("text", F.lit(r"[\p{L}\p{N}_]"))
+    letters = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("chain"), F.when(worded, text.content_fingerprint(F.col("text"))).alias("letter"), "turn")
+    ledger = Ledger(spark, scratch_path(spark, "threads"))
+    for batch, arrived in enumerate(("turn <= 0", "turn > 0 AND turn <= 2", "turn > 2 OR turn IS NULL")):
+        incremental.ingest(ledger, "letters", batch, letters.where(arrived))
+    incremental.ingest(ledger, "letters", 2, letters)
+    return incremental.threads(ledger.snapshot())[1].select(F.col("chain").alias("conv_id"), F.col("thread").alias("thread_id"))
+
+
+QUERIES = {"intake_accept": intake_accept, "intake_receipts": intake_receipts, "thread_ingest": thread_ingest}
 
 _MATERIALS = """d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, length(coalesce(text, '')) AS size, lang, source FROM documents),
     f AS (SELECT h, min(doc_id) AS first FROM d GROUP BY h), m AS (SELECT h, first, row_number() OVER (ORDER BY first) AS id FROM f)"""
 ORACLES = {
+    "thread_ingest": registries.ORACLES["thread_merge"],
     "intake_accept": f"""
         WITH {_MATERIALS}, c AS (SELECT h, trim(lang) AS name FROM d UNION SELECT h, trim(source) FROM d),
         n AS (SELECT h, string_agg(DISTINCT name, '|' ORDER BY name) AS contours FROM c WHERE name <> '' GROUP BY h)

@@ -1,10 +1,10 @@
-"""Full-text retrieval over ``documents``. Stems are beyond SQL; tests compare with brute force."""
+"""Full-text retrieval over ``documents``, and names in them. Stems and occurrences at every place are beyond SQL; tests compare with brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomkb.operators import fulltext
+from loomkb.operators import fulltext, names
 from loomkb.operators.retrieval import fuse_ranks, vector_topk
 from loomkb.plans.search import PROBE_ID
 from loomkb.session import table
@@ -35,5 +35,12 @@ def fulltext_hybrid(spark, sf_dir):
     return fuse_ranks(vec, fulltext.search(spark, _index(spark, sf_dir), QUESTION), 10)
 
 
-QUERIES = {"fulltext_rank": fulltext_rank, "fulltext_hybrid": fulltext_hybrid}
+def name_mentions(spark, sf_dir):
+    """Every place where a document names a benchmark item by the item's first three words."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ").alias("name"))
+    found = names.occurrences(table(spark, sf_dir, "documents"), items, inflect=False)
+    return found.select(F.col("id").alias("doc_id"), F.col("name_id").alias("item_id"), "start", "said")
+
+
+QUERIES = {"name_mentions": name_mentions, "fulltext_rank": fulltext_rank, "fulltext_hybrid": fulltext_hybrid}
 ORACLES: dict[str, str] = {}
