@@ -158,8 +158,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
 
     Only vectors of one (not null) label and one length are compared. Null and
     zero vectors and those with null or non-finite components link with
-    nothing. Rows with one id count as vectors of their own in n_links and
-    share their component; null ids are returned without links. An empty table
+    nothing. Rows with one id count as vectors of their own in n_links, each
+    with its own vector's links, and share their component; null ids are
+    returned without links. An empty table
     gives an empty result.
     """
     v = F.col("__v")
@@ -169,22 +170,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite
     good = good & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
     rows = materialize(rows.withColumn("good", good).withColumn("key", F.when(good, F.xxhash64("label", "__v"))), "vectors")
-    points = materialize(
-        rows.where("good").groupBy("key", "label", "__v").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies")), "points"
-    )
-    links = _links(points, cosine)
-    components = connected_components(links.select(F.col("point").alias("a"), F.col("peer").alias("b")))
+    points = rows.where("good").groupBy("key", "label", "__v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    # numbers of their own, fixed by the written table: an id may name several vectors
+    points = materialize(points.withColumn("point", F.monotonically_increasing_id()), "points")
+    links = _links(points.drop("first"), cosine)
+    edges = links.select(F.col("point").alias("a"), F.col("peer").alias("b")).unionByName(_of_one_id(rows.where("good"), points))
+    components = connected_components(edges)
     totals = links.groupBy("point").agg(F.sum("links").alias("links"))
     found = points.join(totals, "point", "left").join(components.withColumnRenamed("node", "point"), "point", "left")
-    found = materialize(
-        found.select("key", "label", "__v", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component_id")),
-        "found",
-    )
+    found = found.select("key", "label", "__v", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "point").alias("component"))
+    found = materialize(found, "found")
+    names = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = found.drop("first").join(names, "component")
     linked = rows.where("good").join(found, ["key", "label", "__v"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _of_one_id(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): points of ids that name several vectors, and the least of them for each."""
+    several = rows.groupBy("vec_id").agg(F.min("key").alias("k"), F.max("key").alias("most")).where("k <> most").select("vec_id")
+    named = materialize(rows.join(several, "vec_id").join(points, ["key", "label", "__v"]).select("vec_id", "point").distinct(), "named")
+    hubs = named.groupBy("vec_id").agg(F.min("point").alias("b"))
+    return named.join(hubs, "vec_id").select(F.col("point").alias("a"), "b")
+
+
 def _nets(points: DataFrame, sizes: DataFrame) -> dict[tuple, np.ndarray]:
     """Pivots of each (label, length) that has more points than a block.
 
