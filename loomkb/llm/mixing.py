@@ -81,7 +81,7 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``histogram`` has (source, size, n), ``targets`` (source, target, scale,
     full). Each step is one aggregation of the histogram; sources at their cap
-    need none.
+    need none. Targets that ``MAX_STEPS`` steps do not reach are an error.
     """
     no = F.lit(None).cast("double")
     state = targets.withColumns({"tilt": F.lit(0.0), "lo": no, "hi": no})
@@ -109,6 +109,8 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         state = state.drop("error")
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise ArithmeticError(f"after {MAX_STEPS} steps a source is {worst:.1e} of its target away from it")
     return state.select(*targets.columns, "tilt")
 
 
