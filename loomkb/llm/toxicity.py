@@ -40,9 +40,10 @@ class Settings:
     #: The least sampled rows with a term, and the standard errors that make a term matter by itself.
     least: int = 5
     clear: float = 3.0
-    #: Terms kept at most for what they say by themselves, and for what they say in pairs.
-    terms: int = 2048
-    paired: int = 512
+    #: Labelled rows for each term kept for what it says by itself, and for what it says in pairs; so many terms may be kept of any sample.
+    rows_per_term: int = 8
+    rows_per_pair: int = 32
+    any_sample: int = 64
     #: How much farther than the median term's its factors must move for a term to matter in pairs.
     far: float = 4.0
     factors: int = 4
@@ -113,8 +114,9 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
     A first fit has every term of at least ``least`` rows. The model is fitted
     again on the terms that matter by themselves (their shares in the two
     labels differ by ``clear`` standard errors) or by their pairs (their
-    factors moved most in the first fit), at most ``terms`` and ``paired`` of
-    them: the noise of all others would add up in long texts.
+    factors moved most in the first fit), the clearest ones first, one for each
+    ``rows_per_term`` and ``rows_per_pair`` rows: more than the rows can tell
+    apart is noise, which would add up in long texts.
     """
     y = np.array([label for _, label in rows], dtype=np.float64)
     positive, empty = int(y.sum()), np.zeros(0, np.int64)
@@ -136,9 +138,9 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
     del rows
     _, p = learn(docs, y, len(everything), settings, settings.first_epochs)
     moved = np.linalg.norm(p[:, 1:], axis=1) * np.sqrt(share * (1 - share))
-    by_itself = np.argsort(-strength, kind="stable")[: settings.terms]
+    by_itself = np.argsort(-strength, kind="stable")[: max(settings.any_sample, len(y) // settings.rows_per_term)]
     by_itself = by_itself[strength[by_itself] > settings.clear]
-    in_pairs = np.argsort(-moved, kind="stable")[: settings.paired]
+    in_pairs = np.argsort(-moved, kind="stable")[: max(settings.any_sample, len(y) // settings.rows_per_pair)]
     in_pairs = in_pairs[moved[in_pairs] > settings.far * np.median(moved)]
     chosen = np.union1d(by_itself, in_pairs)
     if not len(chosen):
@@ -262,7 +264,12 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns.
+
+    Null and empty texts have the model's constant score, below the threshold
+    unless most labelled rows are toxic. Equal texts stay or go together; an
+    empty table stays empty.
+    """
     return docs.where(score_column(model, F.col(text_col)) < threshold)
 
 
