@@ -18,12 +18,36 @@ FILE_CHARS, ALL_CHARS, FILES, SNIPPET = 12_000, 30_000, 10, 600
 
 
 def search_results(pages: DataFrame, column: str = "xml", k: int = 10) -> DataFrame:
-    """(place, title, url, domain, snippet) of the documents in search answers; an answer with an error has none."""
-    at = lambda tag: F.expr(f"xpath({column}, '//doc/{tag}//text()')")
-    one = lambda tag: F.expr(f"xpath({column}, '//doc/{tag}/text()')")
-    found = pages.where(~F.expr(f"xpath_boolean({column}, '//response/error')"))
-    rows = found.select("*", F.posexplode(F.slice(F.arrays_zip(one("title").alias("title"), one("url").alias("url"), one("domain").alias("domain"), at("passages").alias("snippet")), 1, k)).alias("place", "r"))
-    return rows.select(*[c for c in pages.columns if c != column], "place", "r.title", "r.url", "r.domain", F.left("r.snippet", F.lit(SNIPPET)).alias("snippet"))
+    """(place, title, url, domain, snippet) of the first ``k`` documents in search answers; an answer with an error has none.
+
+    Each document is a row with its own fields: its address stands for a title
+    that is missing, the address's host for a domain, and the headline for
+    passages. Documents without an address are left out and have no place. Answers
+    are read by their marks, so broken ones give what they have.
+    """
+
+    def inside(text: Column, tag: str) -> Column:
+        """What stands in each element ``tag``; elements of one kind do not nest here."""
+        return F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}(?=[\s>])(?:[^>]*[^/])?>(.*?)</{tag}>"), F.lit(1))
+
+    def plain(markup: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(markup, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"<[^>]*>", "")
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+    def fields(doc: Column) -> Column:
+        one = lambda tag: F.nullif(plain(F.get(inside(doc, tag), F.lit(0))), F.lit(""))
+        said = F.filter(F.transform(inside(doc, "passage"), plain), lambda p: p != "")
+        snippet = F.when(F.size(said) > 0, F.array_join(said, " … ")).otherwise(F.coalesce(one("headline"), F.lit("")))
+        host = F.regexp_extract(one("url"), r"^[^:/?#]+://([^/?#]*)", 1)
+        named = {"title": F.coalesce(one("title"), one("url")), "url": one("url"), "domain": F.coalesce(one("domain"), host), "snippet": F.left(snippet, F.lit(SNIPPET))}
+        return F.struct(*[c.alias(n) for n, c in named.items()])
+
+    found = pages.where(~F.regexp_like(column, F.lit(r"(?s)<response\b.*?<error\b")))
+    placed = F.slice(F.filter(F.transform(inside(F.col(column), "doc"), fields), lambda r: r["url"].isNotNull()), 1, k)
+    kept = [c for c in pages.columns if c != column]
+    return found.select(*kept, F.posexplode(placed).alias("place", "r")).select(*kept, "place", "r.*")
 
 
 def attachment_texts(files: DataFrame, group: str = "message") -> DataFrame:

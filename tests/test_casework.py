@@ -307,6 +307,14 @@ def test_intake(spark, tmp_path):
     xml = "<y><response><results><grouping><group><doc><url>u1</url><domain>d</domain><title>T1</title><passages><passage>snip</passage></passages></doc></group></grouping></results></response></y>"
     pages = spark.createDataFrame([("q", xml), ("e", "<y><response><error code='15'>no</error></response></y>")], "query string, xml string")
     assert rows(intake.search_results(pages)) == [("q", 0, "T1", "u1", "d", "snip")]
+    uneven = """<y><response><results><grouping>
+        <group><doc id="1"><url>http://a.org/x?q=1&amp;z=2</url><title>A <hlword>B</hlword>
+          C</title><passages><passage>one <hlword>two</hlword></passage><passage/><passage>three</passage></passages></doc></group>
+        <group><doc><title>no address</title></doc></group>
+        <group><doc id="2"><url>u2</url><domain>d2</domain><headline>head</headline></doc></group></grouping></results></response></y>"""
+    got = rows(intake.search_results(spark.createDataFrame([("q", uneven), ("n", None), ("z", "<y/>"), ("x", "<y><doc><url>cut</url></doc><doc><url>off")], "query string, xml string")))
+    assert got == [("q", 0, "A B C", "http://a.org/x?q=1&z=2", "a.org", "one two … three"), ("q", 1, "u2", "u2", "d2", "head"), ("x", 0, "cut", "cut", "", "")]
+    assert rows(intake.search_results(spark.createDataFrame([("q", uneven)], "query string, xml string"), k=1), "place", "title") == [(0, "A B C")]
     files = spark.createDataFrame([(1, i, f"h{i % 12}", "x" * 5000) for i in range(14)], "message long, position int, sha256 string, text string")
     shown = intake.attachment_texts(files)
     assert shown.count() == 10 and shown.agg(F.sum(F.length("shown"))).first()[0] == 30_000
