@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomkb.plans import casework, commits, registries, relational, retrieval, search, text
+from loomkb.plans import casework, commits, registers, registries, relational, retrieval, search, text
 
 #: Every module has QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES = (search, relational, text, registries, casework, commits, retrieval)
+MODULES = (search, relational, text, registries, casework, commits, retrieval, registers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
