@@ -7,8 +7,8 @@ A shard file holds, in ascending id order of its documents:
 The index is a minimal perfect hash: levels of bit arrays in which each key has
 a bit of its own, or moves on to the next level; the rank of that bit is the
 key's slot. The slot's fingerprint tells keys of the shard from others, and its
-offset leads to the ids: a keyed read costs a few bit tests and one slice,
-whatever the size of the shard. Over all shards, hash buckets hold the same kind
+offset leads to the ids: in a shard that is read, a key costs a few bit tests
+and one slice, whatever its size. Over all shards, hash buckets hold the same kind
 of index from a key to its shard's file and offset (``write_index``, ``lookup``).
 """
 
@@ -325,8 +325,9 @@ class BucketIndex:
 def lookup(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of the distinct ``keys`` that some shard below ``path`` holds.
 
-    Each key asks its bucket for a file and an offset, and a slice of that file
-    is read: no shard is searched. Null keys find nothing.
+    Each key asks its bucket for a file and an offset. The index buckets and the
+    shard files that hold keys are read whole, all others not at all; no shard
+    is searched. Null keys find nothing.
     """
     index = spark.read.format("binaryFile").load(f"{path}/index").select("buckets", "bucket", "content")
     row = index.select("buckets").first()
