@@ -120,7 +120,7 @@ def journal(records: DataFrame, path: str, now: Column | None = None) -> None:
 
 def cached(asked: DataFrame, answers: DataFrame, keys: Sequence[str], seconds: int = 600) -> tuple[DataFrame, DataFrame]:
     """(rows with an answer that is fresh enough, rows to ask again) for requests with a time ``at``."""
-    joined = joins.as_of_join(asked, answers, list(keys), "at", "answered_at", ["answer", "answered_at"])
+    joined = joins.as_of_join(asked, answers, list(keys), "at", "answered_at", ["answer", "answered_at"], slices=F.to_date)
     fresh = F.coalesce(F.unix_timestamp("at") - F.unix_timestamp("answered_at") <= seconds, F.lit(False))
     return joined.where(fresh), joined.where(~fresh).select(*asked.columns)
 

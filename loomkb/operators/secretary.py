@@ -65,7 +65,7 @@ def moves(places: DataFrame, incoming: DataFrame) -> DataFrame:
 
     A move to the city where the person is already changes nothing.
     """
-    here = joins.as_of_join(incoming.withColumnRenamed("city", "to_city").withColumnRenamed("tz", "to_tz"), places, ["person"], "at", "effective_at", ["city", "tz"])
+    here = joins.as_of_join(incoming.withColumnRenamed("city", "to_city").withColumnRenamed("tz", "to_tz"), places, ["person"], "at", "effective_at", ["city", "tz"], slices=F.to_date)
     local_day = F.to_date(F.from_utc_timestamp("at", F.coalesce("tz", F.lit("UTC"))))
     later = F.coalesce(F.col("on_date") > local_day, F.lit(False))
     start = F.when(later, F.to_utc_timestamp(F.col("on_date").cast("timestamp"), F.coalesce("tz", F.lit("UTC")))).otherwise(F.col("at"))
@@ -82,7 +82,7 @@ def page_marks(log: DataFrame, books: DataFrame) -> DataFrame:
 
 def section_at(marks: DataFrame, toc: DataFrame) -> DataFrame:
     """``marks`` with the section of the table of contents that holds their page: the last one that begins at or before it."""
-    return joins.as_of_join(marks, toc, ["book"], "page", "page", ["title"], tie="entry").withColumnRenamed("title", "section")
+    return joins.as_of_join(marks, toc, ["book"], "page", "page", ["title"], tie="entry", slices=lambda page: F.floor(page / 100)).withColumnRenamed("title", "section")
 
 
 def find_book(books: DataFrame, number: int | None = None, title: str | None = None) -> DataFrame:

@@ -62,8 +62,9 @@ def test_as_of_and_interval_joins(spark):
     l = spark.createDataFrame([(i, rng.choice("pq"), rng.randrange(300)) for i in range(300)], "id int, k string, at int")
     r = spark.createDataFrame([(rng.choice("pqr"), rng.randrange(300), i, str(i)) for i in range(60)], "k string, t int, n int, v string")
     whole = joins.as_of_join(l, r, ["k"], "at", "t", ["v"], "n")
-    for width in (1, 7, 1000):
-        sliced = joins.as_of_join(l, r, ["k"], "at", "t", ["v"], "n", slices=lambda at: F.floor(at / width))
+    # all keys are hot, one of three is, none is
+    for width, hot in ((1, 0), (7, 0), (1000, 0), (7, 180), (7, 10_000)):
+        sliced = joins.as_of_join(l, r, ["k"], "at", "t", ["v"], "n", slices=lambda at: F.floor(at / width), hot=hot)
         assert rows(sliced, "id", "v") == rows(whole, "id", "v")
     pairs = joins.interval_join(left, right, ["k"], "at", "t", 3600, F.col("r.n") < 3)
     assert rows(pairs, "l.id", "r.n") == [(1, 1), (1, 2), (2, 1)]
