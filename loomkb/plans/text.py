@@ -143,6 +143,15 @@ ORACLES = {
     "intent_classify": """
         SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'question' WHEN 1 THEN 'issue' ELSE 'question' END AS primary,
                CAST(CASE turn % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS DOUBLE) AS score, turn % 3 < 2 AS is_issue, turn % 3 = 1 AS confident FROM conversations""",
+    "ticket_refs": r"""
+        WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT doc_id, list_concat(list_concat(
+            list_filter(regexp_extract_all(t, '[\p{L}\p{N}_.]+'), lambda x: regexp_full_match(x, '\d{7,12}')),
+            regexp_extract_all(t, '(?i)(?:^|[^\p{L}\p{N}_])((?:INC|SR|REQ|RITM|CHG|TASK|SD)[-_]?\d{4,10})(?:[^\p{L}\p{N}_]|$)', 1)), list_concat(
+            regexp_extract_all(t, '\[#\s*(\d{3,10})\]', 1),
+            regexp_extract_all(t, '(?i)(?:заявк|тикет|инцидент|ticket|request)[\p{L}\p{N}_]*\s*(?:№|N|#|no\.?)?\s*(\d{3,12})(?:[^\p{L}\p{N}_]|$)', 1))) AS l FROM f),
+        u AS (SELECT doc_id, list_transform(l, lambda r: translate(upper(r), '_', '-')) AS l FROM p)
+        SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS refs FROM u""",
     "title_overlap_classes": f"""
         WITH p AS (SELECT p_partkey, p_brand, list_sort({_STEMS}) AS s FROM part),
         s AS (SELECT min(p_partkey) AS p_partkey, p_brand, s FROM p WHERE len(s) > 0 GROUP BY p_brand, s),
