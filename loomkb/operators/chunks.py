@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomkb.functions import chunking, entities, text
 from loomkb.sources import code
 
-EMBED_CHARS, SHRINK, HIT_CHARS, DIM = 6000, 0.6, 1500, 64
+EMBED_CHARS, EMBED_BATCH, SHRINK, HIT_CHARS, DIM = 6000, 64, 0.6, 1500, 64
 CHUNK = ["chunk_id", "source", "title", "text", "doc_type", "objects", "attrs"]
 
 
@@ -209,8 +209,9 @@ def hashed_vectors(texts: Sequence[str], is_query: bool = False) -> list[list[fl
 def embedded(column: Column, embed: Embed = hashed_vectors, is_query: bool = False, limit: int = EMBED_CHARS) -> Column:
     """Vectors of a text column by the function given, an Arrow batch at a time.
 
-    Texts are sent up to ``limit`` characters, as the service takes them; one
-    that it refuses as too long is sent again with 0.6 of them.
+    ``EMBED_BATCH`` texts are sent at a time, up to ``limit`` characters of each,
+    as the service takes them. Of a batch that it refuses each text is sent by
+    itself, and one that is too long again with 0.6 of its characters.
     """
 
     @F.pandas_udf("array<float>")
@@ -224,8 +225,17 @@ def embedded(column: Column, embed: Embed = hashed_vectors, is_query: bool = Fal
                     size = int(size * SHRINK)
             return None
 
+        def several(texts: list[str]) -> list[list[float] | None]:
+            try:
+                found = embed([t[:limit] for t in texts], is_query)
+                return list(found) if len(found) == len(texts) else [one(t) for t in texts]
+            except ValueError:
+                return [one(t) for t in texts]
+
         for batch in batches:
-            yield pd.Series([one(t or "") for t in batch], dtype=object)
+            texts = [t or "" for t in batch]
+            parts = [several(texts[i : i + EMBED_BATCH]) for i in range(0, len(texts), EMBED_BATCH)]
+            yield pd.Series([v for part in parts for v in part], dtype=object)
 
     return vectors(column)
 

@@ -113,6 +113,18 @@ def test_chunk_families(spark):
 
     assert one(spark, chunks.embedded(C("t"), refuses), t="x" * 3000) == [777.0]
 
+    def counts(texts, is_query):
+        if any(len(t) > 1000 for t in texts):
+            raise ValueError("too long")
+        return [[float(len(t)), float(len(texts))] for t in texts]
+
+    # a batch that is taken is one call; one that is refused goes text by text
+    given = spark.createDataFrame([(i, "x" * i) for i in range(1, 101)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["v"] for r in given.select("i", chunks.embedded(C("t"), counts).alias("v")).collect()}
+    assert all(v[0] == i for i, v in got.items()) and max(v[1] for v in got.values()) > 1
+    mixed = spark.createDataFrame([(1, "short"), (2, "y" * 3000), (3, None)], "i int, t string").coalesce(1)
+    assert {r["i"]: r["v"] for r in mixed.select("i", chunks.embedded(C("t"), counts).alias("v")).collect()} == {1: [5.0, 1.0], 2: [777.0, 1.0], 3: [0.0, 1.0]}
+
 
 ISSUES = "id long, title string, status string, contact long, message_id string, description string, refs array<string>, contours array<long>"
 
