@@ -34,6 +34,8 @@ MAGIC = b"LKSHARD1"
 HEADER = struct.Struct("<8sqqqqii")  # magic, shard id, documents, ids, bytes of the index, bytes per id, null keys
 #: A shard is closed at so many ids.
 SHARD_IDS = 2_000_000
+#: Memory of a worker for ids of pieces.
+PIECE_BYTES = 160 << 20
 #: Rows taken from Arrow at a time; seed of the numbers that split rows of one id.
 ROWS, SEED = 256, 7
 #: What an index slot holds.
@@ -189,7 +191,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     ranged = pairs.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "t")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, tokenizer_path)
+        encode = encoder(tokenizer, tokenizer_path, PIECE_BYTES)
         end = np.array([end_id], encode.dtype).tobytes()
         part, seq, keys, payloads, held = TaskContext.get().partitionId(), 0, [], [], 0
 
