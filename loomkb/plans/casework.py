@@ -64,7 +64,7 @@ def _issue_tables(spark, sf_dir):
     a = l.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("issue"), F.col("l_returnflag").alias("filename"), F.col("l_quantity").alias("size"))
     none = F.lit(None).cast("string")
     e = l.select(
-        F.col("l_orderkey").alias("issue"), F.col("l_shipdate").alias("at"), (F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("seq"), F.col("l_linestatus").alias("actor"),
+        F.col("l_orderkey").alias("issue"), F.col("l_shipdate").alias("at"), F.col("n").alias("seq"), F.col("l_linestatus").alias("actor"),
         F.when(F.col("l_returnflag") == "R", "comment").otherwise("status").alias("type"), none.alias("field"), none.alias("old_value"), none.alias("new_value"), F.col("l_quantity").cast("long").cast("string").alias("comment"),
     )
     return o, c, a, e

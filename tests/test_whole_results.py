@@ -1,5 +1,6 @@
 """Registered queries against brute force on whole small tables: nothing is left out by a filter."""
 
+import datetime as dt
 import re
 from itertools import combinations, permutations
 
@@ -87,3 +88,15 @@ def test_eval_recall_finds_passages_wherever_they_begin(spark, tmp_path):
     spark.createDataFrame(list(enumerate(inside + missing + ["", "«»"])), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = registry.queries()["eval_recall"](spark, str(tmp_path)).first()
     assert (got["items"], got["found"], got["recall"]) == (12, 8, 0.667)
+
+
+def test_cards_order_events_by_line_first_whatever_the_size_of_keys(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    lines = [(1, 3_000_000, 5, 1, 11.0, "R", "O", day), (1, 4, 2_000_000, 2, 12.0, "R", "O", day), (1, 4, 5, 2, 13.0, "R", "F", day), (1, 5, 1, 2, 14.0, "R", "F", day)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7, "O", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, "Ann", "FOOD")], "c_custkey long, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert registry.queries()["issue_cards"](spark, str(tmp_path)).first()["first_event"] == "11"
+    said = registry.queries()["issue_short_cards"](spark, str(tmp_path)).first()["comments"]
+    assert [c.split(": ")[1] for c in said.split("|")] == ["11", "13", "12", "14"]
