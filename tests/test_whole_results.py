@@ -2,13 +2,15 @@
 
 import datetime as dt
 import re
+from collections import Counter
 from itertools import combinations, permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomkb.functions import text
-from loomkb.operators import evidence
+from loomkb.operators import evidence, joins
 from loomkb.plans import registry
 
 
@@ -58,8 +60,11 @@ def test_title_overlap_meets_across_brands(spark, tmp_path):
     rng = np.random.default_rng(7)
     parts = [(i, " ".join(rng.choice(words, rng.integers(1, 6))), f"Brand#{i % 3}") for i in range(80)] + [(90, "v 2", "Brand#1"), (91, "", "Brand#1")]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
-    got = rows(registry.queries()["title_overlap"](spark, str(tmp_path)).select("a", "b", "score"))
+    p = spark.read.parquet(f"{tmp_path}/part.parquet").select("p_partkey", text.title_stems(F.col("p_name")).alias("s"), "p_brand")
+    got = rows(joins.title_pairs(p, "p_partkey", "s", "p_brand"))
     assert got == titles_by_brute_force(parts)
+    links = Counter(i for a, b, _ in got for i in (a, b))
+    assert rows(registry.queries()["title_overlap"](spark, str(tmp_path)).select("p_partkey", "n_links")) == [(i, links[i]) for i in range(80)]
     assert {s for a, b, s in got if a % 3 != b % 3} == {0.8} and 0.75 in {s for *_, s in got}
 
 
@@ -100,3 +105,36 @@ def test_cards_order_events_by_line_first_whatever_the_size_of_keys(spark, tmp_p
     assert registry.queries()["issue_cards"](spark, str(tmp_path)).first()["first_event"] == "11"
     said = registry.queries()["issue_short_cards"](spark, str(tmp_path)).first()["comments"]
     assert [c.split(": ")[1] for c in said.split("|")] == ["11", "13", "12", "14"]
+
+
+def test_containment_is_exact_in_small_buckets_and_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "COMPARED", 3)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(list("abcde"), rng.integers(0, 9))) for _ in range(60)]
+    long = [" ".join(f"w{i}x{k}" for i in range(40)) for k in range(3)]
+    texts += [t + f" tail{i}" for t in long for i in range(9)] + [texts[3]] * 5 + [None, "", "?!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [re.findall(r"\w+", t or "") for t in texts]
+    sets = [{" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set() for w in words]
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) >= 0.75}
+    links = Counter(i for p in want for i in p)
+    first = {tuple(w): i for i, w in reversed(list(enumerate(words)))}
+    rep = [first[tuple(w)] for w in words]
+    assert {p[:2] for p in rows(joins.containment_pairs(spark.read.parquet(f"{tmp_path}/documents.parquet")))} == want
+    got = rows(registry.queries()["near_dup_containment"](spark, str(tmp_path)).select("doc_id", "rep", "n_links"))
+    assert got == [(i, rep[i], links[i]) for i in range(len(texts))]
+    hashed = [(i, [h % 97 for h in map(hash, s)]) for i, s in enumerate(sets) if s and rep[i] == i]
+    few = spark.createDataFrame([(i, sorted(set(s))) for i, s in hashed], "rep long, s array<long>")
+    expect = sorted((a, b) for a, b in combinations(dict(hashed), 2) if len(set(dict(hashed)[a]) & set(dict(hashed)[b])) / min(len(set(dict(hashed)[a])), len(set(dict(hashed)[b]))) >= 0.75)
+    for counted in (1 << 20, 40):
+        monkeypatch.setattr(joins, "COUNTED", counted)
+        assert sorted((min(r[:2]), max(r[:2])) for r in joins.contained_sets(few, 0.75).collect()) == expect
+
+
+def test_members_are_named_without_words_being_written(spark, tmp_path, monkeypatch):
+    written = []
+    plain = joins.materialize
+    monkeypatch.setattr(joins, "materialize", lambda df, name="table": written.append(df.columns) or plain(df, name))
+    spark.createDataFrame([(1, "A b"), (2, "a, b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(registry.queries()["near_dup_members"](spark, str(tmp_path)).select("id", "rep", "worded")) == [(1, 1, True), (2, 1, True), (3, 3, False)]
+    assert written == [["id", "key", "worded"]]
