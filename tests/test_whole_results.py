@@ -138,3 +138,12 @@ def test_members_are_named_without_words_being_written(spark, tmp_path, monkeypa
     spark.createDataFrame([(1, "A b"), (2, "a, b"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(registry.queries()["near_dup_members"](spark, str(tmp_path)).select("id", "rep", "worded")) == [(1, 1, True), (2, 1, True), (3, 3, False)]
     assert written == [["id", "key", "worded"]]
+
+
+def test_contours_are_scored_before_rows_are_shuffled(spark):
+    contours = spark.createDataFrame([(1, "system", "Alpha Beta", None, ["alfa"]), (2, "subsystem", "Gamma", 1, None)], "id long, kind string, name string, parent_id long, aliases array<string>")
+    texts = spark.createDataFrame([(7, "alpha beta and gamma", []), (8, "galaxy", [])], "id long, t string, o array<string>")
+    scores = evidence.contour_scores(texts, contours, "id", "t", "o")
+    assert {(r["id"], r["contour_id"]) for r in scores.collect()} == {(7, 1), (7, 2)}
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "words" in line]
