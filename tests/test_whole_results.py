@@ -45,6 +45,22 @@ def test_related_score_covers_all_sources(spark, tmp_path, monkeypatch, block):
     assert [s for *_, s in got] == pytest.approx([s for *_, s in want], abs=1e-9) and len({l for l, *_ in got}) > 50
 
 
+def test_related_texts_write_each_set_once_whatever_the_number_of_blocks(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(evidence, "materialize", lambda df, name, write=evidence.materialize: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(evidence, "BLOCK", 7)
+    docs = [(i, f"alpha beta{'cdefgh'[i % 6]} gamma{'klmnop'[i // 6 % 6]} delta{'qrst'[i // 36]}") for i in range(100)]
+    docs += [(100 + i, t) for i, t in docs]
+    df = spark.createDataFrame(docs, "id long, body string")
+    found = evidence.related_texts(evidence.described(df, F.col("body")), "id", evidence.ISSUE_MIN)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search("CartesianProduct|NestedLoopJoin", plan) and "FlatMapGroups" not in plan  # blocks meet without a shuffle of their sets
+    blocks = kept["blocks"].select(F.size("reps").alias("n"), F.size("codes").alias("codes")).collect()
+    assert len(blocks) > 9 and sum(b["n"] for b in blocks) == 100 and sum(b["codes"] for b in blocks) == 400
+    got = rows(found.select("l_id", "r_id", "score"))
+    assert [g[:2] for g in got] == [w[:2] for w in related_by_brute_force(docs)]
+
+
 def titles_by_brute_force(parts):
     """(a, b, score) over all pairs of (id, name, kind)."""
     out = []
