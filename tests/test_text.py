@@ -1,6 +1,8 @@
 """Text, scoring and assistant functions on small golden cases."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,21 @@ def test_days(spark):
     book = one(spark, assistant.author_title(C("x")), x="Л.Н.Толстой «Война и мир», 1300 страниц")
     assert (book["author"], book["title"], book["pages"]) == ("Л.Н. Толстой", "Война и мир", 1300)
     assert one(spark, assistant.plausible(F.lit(55.7), F.lit(37.6), F.lit(3.0))) and not one(spark, assistant.plausible(F.lit(55.7), F.lit(-120.0), F.lit(3.0)))
+
+
+def test_signs_lose_no_kind(spark):
+    """Kinds as by the patterns alone, on texts put together from pieces of what the patterns want; every rule has signs."""
+    assert set(text.DOC_SIGNS) == {name for name, _ in text.DOC_KINDS}
+    pieces = """программа программы и методика методики испытаний пми пими ПМИ дополнительное соглашение дс ДС №7 12 техническое Техническим заданием задание тз ТЗ
+        бизнес бизнес-требования функциональные требования бт правила ограничения as_is as is to-be TO be описание бизнес процесса схемы процессов бп протокол Решение
+        решения совещания итоги встречи инструкция руководство пользователя регламент отчет Отчёт отчётный выгрузка реестр оборотная просто слово the ever past""".split()
+    rng = random.Random(3)
+    texts = [None, ""] + pieces + [rng.choice(" _\n-").join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(3000)]
+
+    def ruled(rules, t, default):
+        low = (t or "").lower().replace("_", " ")
+        return next((name for name, pattern in rules if re.search(pattern.replace(r"[\p{L}\p{N}_]", r"\w"), low)), default)
+
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.guess_kind(C("t")), text.guess_doc_type(C("t"))).collect()
+    want = [(i, ruled(text.DOC_KINDS, t, "other"), ruled(text.DOC_TYPES, t, "doc")) for i, t in enumerate(texts)]
+    assert sorted(tuple(r) for r in got) == want and {k for _, k, _ in want} == {*text.DOC_SIGNS, "other"}
