@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkb.functions.stemming import lexemes
+from loomkb.functions.stemming import TOKEN, lexeme, lexemes
 from loomkb.operators.retrieval import CANDIDATES, _ranked
 
-#: Weight of an occurrence; folders of an index; rows taken from Arrow at a time.
-WEIGHT, BUCKETS, ROWS = 0.1, 64, 256
+#: Weight of an occurrence; folders of an index; tasks that write a folder, at least; rows taken from Arrow at a time.
+WEIGHT, BUCKETS, SPREAD, ROWS = 0.1, 64, 4, 256
 POSTINGS = "lexeme string, id long, positions array<int>"
 
 
@@ -45,29 +45,38 @@ def postings(docs: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
-                words, ids, ends, places = [], [], [0], []
-                for key, content in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    found: dict[str, list[int]] = {}
-                    for position, word in lexemes(content or ""):
-                        found.setdefault(word, []).append(position)
-                    for word, held in found.items():
-                        words.append(word)
-                        ids.append(key)
-                        places.extend(held)
-                        ends.append(len(places))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.int64()), lists], names=["lexeme", "id", "positions"])
+                yield _listed(batch.slice(at, ROWS))
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(listed, POSTINGS)
 
 
+def _listed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of some texts. A token that they have is stemmed once."""
+    tokens, counts = [], []
+    for content in rows.column(1).to_pylist():
+        tokens += (found := TOKEN.findall((content or "").lower()))
+        counts.append(len(found))
+    token = pa.array(tokens, pa.string()).dictionary_encode()
+    stem = pa.array(map(lexeme, token.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    word = stem.indices.fill_null(-1).to_numpy()[token.indices.to_numpy()].astype("i8")
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(1, len(word) + 1) - np.repeat(np.cumsum(counts) - counts, counts)
+    key = (row * len(stem.dictionary) + word)[word >= 0]
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[word >= 0][order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    row, word = np.divmod(key[first], max(len(stem.dictionary), 1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place, pa.int32()))
+    return pa.RecordBatch.from_arrays([stem.dictionary.take(pa.array(word)), rows.column(0).take(pa.array(row)), lists], names=["lexeme", "id", "positions"])
+
+
 def write_index(docs: DataFrame, path: str, id_col: str, *text_cols: str, buckets: int = BUCKETS, mode: str = "errorifexists") -> None:
     """Write postings below ``path``; with ``mode="append"`` documents are added to an index of as many folders."""
-    rows = postings(docs, id_col, *text_cols).withColumn("bucket", _bucket(buckets))
-    order = ["bucket", "lexeme", "id"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.partitionBy("bucket").mode(mode).parquet(path)
+    # texts are read once: ranges would be found by reading them all before; a folder is dealt over tasks by ids
+    tasks = max(SPREAD, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    rows = postings(docs, id_col, *text_cols).withColumns({"bucket": _bucket(buckets), "part": F.pmod(F.xxhash64("id"), F.lit(tasks))})
+    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "lexeme", "id").drop("part")
+    dealt.write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def find(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:

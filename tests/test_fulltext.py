@@ -98,3 +98,19 @@ def test_registered_rank_equals_brute_force(spark):
     got = {r["doc_id"]: (r["any_score"], r["all_score"]) for r in registry.queries()["fulltext_rank"](spark, SF).collect()}
     assert len(got) > 20 and {k: v[0] for k, v in got.items()} == pytest.approx(some)
     assert {k: v[1] for k, v in got.items() if v[1] is not None} == pytest.approx(all_of_them)
+
+
+def test_an_index_reads_its_texts_once(spark, tmp_path):
+    """Dealing postings by ranges read every text a second time, to find the ranges; a folder still is written by several tasks."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"word{i % 7} common") for i in range(300)], "id long, body string").mapInArrow(counted, "id long, body string")
+    path = f"file://{tmp_path}/i"
+    fulltext.write_index(docs, path, "id", "body", buckets=3)
+    assert read.value == 300
+    assert sorted(r["id"] for r in fulltext.find(spark, path, "common", buckets=3).collect()) == list(range(300))
