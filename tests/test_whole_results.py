@@ -147,6 +147,30 @@ def test_containment_is_exact_in_small_buckets_and_blocks(spark, tmp_path, monke
         assert sorted((min(r[:2]), max(r[:2])) for r in joins.contained_sets(few, 0.75).collect()) == expect
 
 
+def test_elements_take_as_many_bytes_among_many_buckets_as_among_few(spark):
+    rng = np.random.default_rng(3)
+    held = [(i, [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)]) for i in range(400)]
+    sets = spark.createDataFrame(held, "rep long, items array<long>").coalesce(1)
+    for buckets in (1, 128):
+        dealt = sets.mapInArrow(joins._dealt(buckets, 0), joins._PACKED)
+        rows, size, elements = dealt.agg(F.count("*"), F.sum(F.length("places") + F.length("codes") + 80), F.sum(F.when(F.col("bucket") >= 0, F.col("n")))).first()
+        assert rows == buckets + 1 and elements == 400 * 300 and size < 7 * elements
+
+
+@pytest.mark.parametrize("marked", [1, 1 << 17])
+def test_copies_are_one_document_whatever_passes_the_filter_of_ids(spark, tmp_path, monkeypatch, marked):
+    monkeypatch.setattr(joins, "MARKED", marked)
+    monkeypatch.setattr(joins, "DEALT", 50)
+    docs = [(i, f"one two three four{i % 40} five{i % 40} six seven eight nine ten") for i in range(120)] + [(200, "two three"), (201, "Two, three!"), (202, "three two")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    _, members = joins.containment_classes(df)
+    keyed = joins.materialize(joins._worded(df, "doc_id", "text"), "keys")
+    assert rows(joins._reps(df, keyed, "doc_id", "text").select("rep")) == sorted({(r["rep"],) for r in members.collect()})
+    found = joins.containment_reps(df, threshold=0.5).collect()
+    assert sorted((min(r[:2]), max(r[:2]), r["score"]) for r in found) == [(a, b, 0.5) for a, b in combinations(range(40), 2)]
+
+
 def test_members_are_named_without_words_being_written(spark, tmp_path, monkeypatch):
     written = []
     plain = joins.materialize
